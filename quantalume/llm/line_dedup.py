@@ -42,7 +42,7 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
         fp = fp.when(w[0] + w[1] + w[2] >= min_words, window(i, 3)).when(at(i, 3).isNotNull(), window(i, 4))
         return F.struct(x["h"].alias("h"), x["g"].alias("g"), x["w"].alias("w"), fp.alias("fp"))
 
-    df = df.select("d", "t", F.transform("a", whole).alias("a")).select("d", "t", F.posexplode("a").alias("pos", "x"))
+    df = df.select("d", "t", F.transform("a", whole).alias("a")).select("d", "t", F.posexplode_outer("a").alias("pos", "x"))
     return df.select("d", "t", "pos", "x.h", "x.g", "x.w", "x.fp.low", "x.fp.key")
 
 

@@ -64,7 +64,7 @@ def rules() -> dict[str, Column]:
     return {
         "symbols": F.col("n_symbols") * 10 > words,
         "word_length": (F.col("word_chars") < 2 * words) | (F.col("word_chars") > 15 * words),
-        "repeated_lines": F.col("n_dup_lines") * 10 > lines * 3,
+        "repeated_lines": F.col("n_dup_lines") * 2 > lines,
         "capitals": upper * 2 > F.col("word_chars"),
         "exclamations": count("!") * 5 > words,
         "bare_words": bare * 10 > words * 3,
