@@ -298,3 +298,30 @@ def table_one(spark, sf_dir):
 def bootstrap(spark, sf_dir):
     out = de.bootstrap(table(spark, sf_dir, "customer"), "c_acctbal", "mean", 200, seed=3, by=["c_mktsegment"])
     return out.select("c_mktsegment", F.size("replicates").alias("n"), F.array_min("replicates").alias("low"), F.array_max("replicates").alias("high"))
+
+
+@query()
+def visualize_spec(spark, sf_dir):
+    from .sql import sql
+
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders_for_chart")
+    return sql(spark, "VISUALIZE o_orderpriority AS x, o_totalprice AS y FROM orders_for_chart DRAW bar TITLE 'Revenue'").select("spec", F.map_values("layer_sqls")[0].alias("layer_sql"))
+
+
+@query("""SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(value) AS n, round(avg(value),6)+0.0 AS mean, round(var_samp(value),5)+0.0 AS variance FROM events GROUP BY 1,2""")
+def windowed_moments(spark, sf_dir):
+    from ..streaming.moments import windowed_moments as moments
+
+    out = moments(table(spark, sf_dir, "events"), "ts", "value", "1 day", by=("event_type",))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", (F.round("mean", 6) + 0.0).alias("mean"), (F.round("variance", 5) + 0.0).alias("variance"))
+
+
+@query("""SELECT s_suppkey::DOUBLE AS "S_KEY", s_name AS "S_NAME", s_acctbal AS "S_BAL" FROM supplier""")
+def xpt_round_trip(spark, sf_dir):
+    import tempfile
+
+    from ..sources.xpt import read_stat, write_xpt
+
+    path = tempfile.mkdtemp() + "/supplier.xpt"
+    write_xpt(table(spark, sf_dir, "supplier").selectExpr("s_suppkey as s_key", "s_name", "s_acctbal as s_bal"), path)
+    return read_stat(spark, "file://" + path)
