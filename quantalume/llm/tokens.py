@@ -64,6 +64,9 @@ class PieceEncoder:
 
     def _piece(self, key: str) -> bytes | None:
         """Ids of a piece that the cache lacks; None if it touches other white space."""
+        if key.isalpha() and (key.isascii() or max(key) < "ɐ"):
+            word = key if key.isascii() else key.encode().decode("latin-1").translate(self._letters)
+            return self._keep(key, array("I", [x.id for x in self._model.tokenize("Ġ" + word)]).tobytes())
         feed = key[:1] == "\n"
         core = key[1:] if feed else key
         if not core or core[0].isspace() or core[-1].isspace():
@@ -73,7 +76,7 @@ class PieceEncoder:
         if stem.isalpha() and max(stem) < "ɐ":
             tail = core[len(stem) :]
             if tail and (word := self._body.get("\n" + stem if feed else stem)):
-                return word + self._surfaces([tail])[0]
+                return self._keep(key, word + self._surfaces([tail])[0])
             if not stem.isascii():
                 stem = stem.encode().decode("latin-1").translate(self._letters)
             word = array("I", [x.id for x in self._model.tokenize(stem if feed else "Ġ" + stem)]).tobytes()
@@ -82,6 +85,10 @@ class PieceEncoder:
             ids = word + self._surfaces([tail])[0] if tail else word
         else:
             ids = self._raw([key if feed else " " + key])[0]
+        return self._keep(key, ids)
+
+    def _keep(self, key: str, ids: bytes) -> bytes:
+        """Remember a piece that was met before."""
         slot = hash(key) % _SLOTS
         if self._met[slot]:
             if len(self._body) >= self._max:
@@ -100,10 +107,14 @@ class PieceEncoder:
             keys = text.replace("\n", " \n").split(" ")
             parts = list(map(self._body.get, keys))
             parts[0] = self._surfaces([keys[0]])[0]
-            if None in parts:
-                piece = self._piece
-                parts = [p if p is not None else piece(k) for k, p in zip(keys, parts)]
-            if None not in parts:
+            at = -1
+            try:
+                while True:
+                    at = parts.index(None, at + 1)
+                    if (ids := self._piece(keys[at])) is None:
+                        break
+                    parts[at] = ids
+            except ValueError:  # none is missing any more
                 return b"".join(parts)
         head, *rest = _SEAM.split(text)
         return b"".join(self._surfaces([head, *(" " + x for x in rest)]))
