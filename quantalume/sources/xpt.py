@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from . import stat_files
+
 RECORD = 80
 _HEADER = b"HEADER RECORD*******%s HEADER RECORD!!!!!!!"
 _EPOCH = datetime.date(1960, 1, 1).toordinal() - datetime.date(1970, 1, 1).toordinal()
@@ -153,18 +155,40 @@ def _format(path: str, format: str | None) -> str:
     found = format or EXTENSIONS.get(os.path.splitext(path)[1].lower())
     if not found:
         raise ValueError(f"Cannot detect file format of '{path}'")
-    if found != "xpt":
+    if found == "por":
         raise NotImplementedError(f"Failed to read '{path}': format '{found}' has no reader yet")
     return found
 
 
+def _other(spark: SparkSession, path: str, format: str, encoding: str | None):
+    """The description of an SPSS, Stata or SAS data set, from as much of its head as that takes."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+    length = 1 << 18
+    while True:
+        try:
+            return stat_files.FILES[format](_ranged(spark, path, 0, length), encoding)
+        except Exception as e:
+            if length >= size:
+                raise ValueError(f"Failed to read '{path}': {e or 'the file ends early'}") from None
+            length *= 8
+
+
 def read_stat(spark: SparkSession, path: str, format: str | None = None, encoding: str | None = None) -> DataFrame:
     """A statistics file as a DataFrame; the schema comes from the header alone.
 
     A file's bytes go to one task, which decodes them with numpy in ranges of
     rows; many files are read in parallel, one large file isn't.
     """
-    _format(path, format)
+    if (found := _format(path, format)) != "xpt":
+        other = _other(spark, path, found, encoding)
+
+        def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for content in batch.column(0):
+                    yield from other.batches(content.as_py())
+
+        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, stat_files.schema_of(other.variables))
     layout = _layout(spark, path)
     width, start, rows = layout.width, layout.start, layout.rows
     schema = layout.schema()
@@ -196,10 +220,16 @@ def _without_padding(raw: bytes, width: int) -> bytes:
 def read_stat_metadata(spark: SparkSession, path: str, format: str | None = None, encoding: str | None = None) -> DataFrame:
     """column_name, type, format and label, from the header alone."""
     try:
-        _format(path, format)
-        layout = _layout(spark, path)
+        found = _format(path, format)
+        if found == "xpt":
+            layout = _layout(spark, path)
+        else:
+            other = _other(spark, path, found, encoding)
     except ValueError as e:
         raise ValueError(str(e).replace("Failed to read '", "Failed to read metadata from '")) from None
+    if found != "xpt":
+        rows = [(v["name"], v["type"], v["format"], v["label"]) for v in other.variables]
+        return spark.createDataFrame(rows, "column_name string, type string, format string, label string")
     rows = [(v["name"], "DOUBLE" if v["numeric"] else "STRING", v["format"], v["label"]) for v in layout.variables]
     return spark.createDataFrame(rows, "column_name string, type string, format string, label string")
 
