@@ -16,6 +16,10 @@ Within a bucket, members are tested against a centre; only buckets that still
 hold several components are taken further, at last by all pairs across
 components, so every link between different components is found without
 emitting all pairs of a group.
+
+A pair is dropped before its texts are read when their parity bitmaps differ in
+more bits than matching sets can: each shingle flips one bit, so the bits that
+differ are at most the shingles that do, (n + m) / 9 in a match. No link is lost.
 """
 
 from __future__ import annotations
@@ -36,6 +40,9 @@ _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E377
 #: At most this many ids are broadcast after a count; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 STAR_ROUNDS = 3
+#: Bits of a set's parity bitmap, 64 to a column.
+BITS = 512
+SIGNS = [f"s{i}" for i in range(BITS // 64)]
 #: Vertices that a task holds at a time when it contracts edges.
 FOREST = 500_000
 
@@ -68,6 +75,12 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(_mix(total))
 
 
+def parity_bitmap(s: np.ndarray) -> np.ndarray:
+    """BITS bits as signed 64-bit words: whether an odd number of shingles falls on each."""
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def needed(n: int) -> int:
     """Shingles a set of n shares with any match: ceil(0.8 n)."""
     return -(-4 * n // 5)
@@ -118,11 +131,11 @@ def _statistics(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h bigint, c bigint, docs bigint, total bigint, distinct_ bigint")
 
 
-SETS = "doc_id bigint, n_shingles int, d1 bigint, d2 bigint, keys array<bigint>, common array<bigint>, subsets array<bigint>"
+SETS = "doc_id bigint, n_shingles int, d1 bigint, d2 bigint, keys array<bigint>, common array<bigint>, subsets array<bigint>, " + ", ".join(f"{s} bigint" for s in SIGNS)
 
 
 def _sets(docs: DataFrame, often: np.ndarray, rank: np.ndarray, edge: int) -> DataFrame:
-    """A row for each document: set size, digests and signatures."""
+    """A row for each document: set size, digests, signatures and parity bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast((often, rank))
 
     def signatures(s: np.ndarray, often: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -150,7 +163,7 @@ def _sets(docs: DataFrame, often: np.ndarray, rank: np.ndarray, edge: int) -> Da
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
-                sizes, first, second, found = [], [], [], []
+                sizes, first, second, found, parity = [], [], [], [], []
                 for t in part.column(1):
                     s = shingle_set(t.as_py())
                     raw = s.tobytes()
@@ -158,10 +171,11 @@ def _sets(docs: DataFrame, often: np.ndarray, rank: np.ndarray, edge: int) -> Da
                     first.append(xxhash.xxh3_64_intdigest(raw))
                     second.append(xxhash.xxh3_64_intdigest(raw, seed=1))
                     found.append(signatures(s, often, rank))
+                    parity.append(parity_bitmap(s))
                 signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
                 keys, common, subsets = ([np.asarray(f[k], np.uint64) for f in found] for k in range(3))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int32()), signed(first), signed(second), lists(keys), lists(common), lists(subsets)],
+                    [part.column(0), pa.array(sizes, pa.int32()), signed(first), signed(second), lists(keys), lists(common), lists(subsets), *map(pa.array, np.array(parity).T.copy())],
                     [x.split()[0] for x in SETS.split(", ")],
                 )
 
@@ -260,10 +274,21 @@ def _size_fits(n: str, m: str) -> str:
     return f"5 * least({n}, {m}) >= 4 * greatest({n}, {m})"
 
 
-def find_links(shared: DataFrame, texts: DataFrame) -> DataFrame | None:
+def _signed(rows: DataFrame, signs: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the parity bitmap of the set that column ``key`` names, as columns <key>_s0 and so on."""
+    return rows.join(signs.select(F.col("id").alias(key), *[F.col(s).alias(f"{key}_{s}") for s in SIGNS]), key)
+
+
+def _signs_fit(a: str, b: str, n: str, m: str) -> str:
+    """Matching sets of n and m shingles differ in (n + m) / 9 of them at most, so their bitmaps do."""
+    return f"9 * ({' + '.join(f'bit_count({a}_{s} ^ {b}_{s})' for s in SIGNS)}) <= {n} + {m}"
+
+
+def find_links(shared: DataFrame, texts: DataFrame, signs: DataFrame) -> DataFrame | None:
     """Links (a, b) that join all components of the match graph; None if there are none.
 
-    ``shared`` has h, kind, id, n: the bucket entries of sets that share enough.
+    ``shared`` has h, kind, id, n: the bucket entries of sets that share enough;
+    ``signs`` has their parity bitmaps by id.
     """
     tested: DataFrame | None = None
     links: DataFrame | None = None
@@ -280,14 +305,15 @@ def find_links(shared: DataFrame, texts: DataFrame) -> DataFrame | None:
         open_ = state.join(spread, ["h", "kind"])
         last = turn == STAR_ROUNDS or m[2] <= 4 * m[1]
         if last:
-            other = open_.selectExpr("h", "kind", "id as b", "n as nb", "component as cb")
-            pairs = open_.selectExpr("h", "kind", "id as a", "n as na", "component as ca").join(other, ["h", "kind"])
-            pairs = pairs.where(f"a < b and ca != cb and {_size_fits('na', 'nb')}")
+            other = _signed(open_.selectExpr("h", "kind", "id as b", "n as nb", "component as cb"), signs, "b")
+            pairs = _signed(open_.selectExpr("h", "kind", "id as a", "n as na", "component as ca"), signs, "a").join(other, ["h", "kind"])
+            pairs = pairs.where(f"a < b and ca != cb and {_size_fits('na', 'nb')} and {_signs_fit('a', 'b', 'na', 'nb')}")
             counted = pairs.groupBy("a", "b").agg(F.count_if(F.col("kind") == 1).alias("c"), F.max("kind").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
             pairs = counted.where("k = 2 or c >= greatest(1, least(na, nb) div 25)").select("a", "b")
         else:
             pairs = open_.where(f"component != centre.component and {_size_fits('n', 'centre.n')}")
-            pairs = pairs.selectExpr("least(id, centre.id) as a", "greatest(id, centre.id) as b").distinct()
+            pairs = pairs.selectExpr("least(id, centre.id) as a", "greatest(id, centre.id) as b", "n + centre.n as total").distinct()
+            pairs = _signed(_signed(pairs, signs, "a"), signs, "b").where(_signs_fit("a", "b", "total", "0")).select("a", "b")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -326,7 +352,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = sets.where("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("id"))
     classes = materialize(classes, "classes")
     one = sets.join(classes.where("id is not null").select(F.col("id").alias("doc_id"), *digest), ["doc_id", *digest])
-    one = one.selectExpr("doc_id as id", "n_shingles as n", "keys", "common", "subsets")
+    one = one.selectExpr("doc_id as id", "n_shingles as n", "keys", "common", "subsets", *SIGNS)
     rare = one.selectExpr("id", "n", "inline(concat(transform(keys, x -> struct(x as h, 1 as kind)), transform(subsets, x -> struct(x as h, 2 as kind))))")
     rare = rare.repartition("h", "kind")
     lists = rare.groupBy("h", "kind").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("f"), F.max("id").alias("l")).where("f != l")
@@ -342,7 +368,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         hint = F.broadcast if n_ids <= BROADCAST_IDS else (lambda x: x)
         texts = docs.join(hint(enough.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
         texts = materialize(texts.dropDuplicates(["doc_id"]), "texts")
-        links = find_links(materialize(shared.join(hint(enough), "id", "left_semi"), "shared"), texts)
+        signs = materialize(one.select("id", *SIGNS).join(hint(enough), "id", "left_semi"), "signs")
+        links = find_links(materialize(shared.join(hint(enough), "id", "left_semi"), "shared"), texts, signs)
     out = sets.select("doc_id", *digest).join(classes, digest, "left")
     if links is not None:
         out = out.join(components(links), "id", "left")
