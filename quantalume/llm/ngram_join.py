@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -131,29 +130,30 @@ def _statistics(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h bigint, c bigint, docs bigint, total bigint, distinct_ bigint")
 
 
-SETS = "doc_id bigint, n_shingles int, d1 bigint, d2 bigint, keys array<bigint>, common array<bigint>, subsets array<bigint>, " + ", ".join(f"{s} bigint" for s in SIGNS)
+SETS = "doc_id bigint, n_shingles int, d1 bigint, d2 bigint, keys array<bigint>, common array<bigint>, head array<bigint>, " + ", ".join(f"{s} bigint" for s in SIGNS)
+
+
+#: Entries of all 2-subsets of the ascending head.
+SUBSETS = "flatten(transform(head, (x, i) -> transform(slice(head, 1, i), y -> struct(xxhash64(y, x) as h, 2 as kind))))"
 
 
 def _sets(docs: DataFrame, often: np.ndarray, rank: np.ndarray, edge: int) -> DataFrame:
     """A row for each document: set size, digests, signatures and parity bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast((often, rank))
 
-    def signatures(s: np.ndarray, often: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    def signatures(s: np.ndarray, often: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(s)
         at = np.minimum(np.searchsorted(often, s), max(0, len(often) - 1))
         is_often = often[at] == s if len(often) else np.zeros(n, bool)
         tail = s[is_often][np.argsort(rank[at[is_often]], kind="stable")]
         order, rare = np.concatenate([s[~is_often], tail]), int(n - is_often.sum())
-        keys = common = np.zeros(0, np.uint64)
-        subsets: list[int] = []
+        keys = common = head = np.zeros(0, np.uint64)
         if n > edge or n >= needed(edge + 1):
             width = min(n, n - needed(n) + shared_count(n))
             keys, common = order[: min(width, rare)], order[rare:width]
         if n <= edge:
-            head = order[: min(n, n - needed(n) + 2)]
-            i, j = np.array(list(combinations(range(len(head)), 2)), np.int64).reshape(-1, 2).T
-            subsets = _mix(np.minimum(head[i], head[j]) * _MULTIPLIERS[0] + np.maximum(head[i], head[j]) * _MULTIPLIERS[1])
-        return keys, common, subsets
+            head = np.sort(order[: min(n, n - needed(n) + 2)].view(np.int64)).view(np.uint64)
+        return keys, common, head
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -173,9 +173,9 @@ def _sets(docs: DataFrame, often: np.ndarray, rank: np.ndarray, edge: int) -> Da
                     found.append(signatures(s, often, rank))
                     parity.append(parity_bitmap(s))
                 signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-                keys, common, subsets = ([np.asarray(f[k], np.uint64) for f in found] for k in range(3))
+                keys, common, heads = ([np.asarray(f[k], np.uint64) for f in found] for k in range(3))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int32()), signed(first), signed(second), lists(keys), lists(common), lists(subsets), *map(pa.array, np.array(parity).T.copy())],
+                    [part.column(0), pa.array(sizes, pa.int32()), signed(first), signed(second), lists(keys), lists(common), lists(heads), *map(pa.array, np.array(parity).T.copy())],
                     [x.split()[0] for x in SETS.split(", ")],
                 )
 
@@ -274,6 +274,19 @@ def _size_fits(n: str, m: str) -> str:
     return f"5 * least({n}, {m}) >= 4 * greatest({n}, {m})"
 
 
+def _distinct_lists(entries: DataFrame, w: str) -> DataFrame:
+    """h, kind, w: one bucket of each distinct membership with two ids or more, and how many have it.
+
+    Two sets that match meet in many buckets with the same members; one of them
+    finds the pair, and w keeps the count of shared shingles right. Members are
+    compared by number, least, greatest and 128 bits of a digest.
+    """
+    digest = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    lists = entries.groupBy("h", "kind").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("f"), F.max("id").alias("l"), F.max(F.expr(w)).alias("w"), *digest)
+    same = ["kind", "m", "f", "l", "x0", "x1"]
+    return lists.where("f != l").groupBy(*same).agg(F.min("h").alias("h"), F.sum("w").alias("w")).select("h", "kind", "w")
+
+
 def _signed(rows: DataFrame, signs: DataFrame, key: str) -> DataFrame:
     """``rows`` with the parity bitmap of the set that column ``key`` names, as columns <key>_s0 and so on."""
     return rows.join(signs.select(F.col("id").alias(key), *[F.col(s).alias(f"{key}_{s}") for s in SIGNS]), key)
@@ -287,11 +300,13 @@ def _signs_fit(a: str, b: str, n: str, m: str) -> str:
 def find_links(shared: DataFrame, texts: DataFrame, signs: DataFrame) -> DataFrame | None:
     """Links (a, b) that join all components of the match graph; None if there are none.
 
-    ``shared`` has h, kind, id, n: the bucket entries of sets that share enough;
+    ``shared`` has h, kind, id, n, w: the bucket entries of sets that share
+    enough, and the number of buckets that each stands for;
     ``signs`` has their parity bitmaps by id.
     """
     tested: DataFrame | None = None
     links: DataFrame | None = None
+    shared = materialize(shared.drop("w").join(_distinct_lists(shared, "w"), ["h", "kind"]), "shared")
     state = shared.withColumn("component", F.col("id"))
     for turn in range(STAR_ROUNDS + 1):
         spread = state.groupBy("h", "kind").agg(
@@ -305,10 +320,10 @@ def find_links(shared: DataFrame, texts: DataFrame, signs: DataFrame) -> DataFra
         open_ = state.join(spread, ["h", "kind"])
         last = turn == STAR_ROUNDS or m[2] <= 4 * m[1]
         if last:
-            other = _signed(open_.selectExpr("h", "kind", "id as b", "n as nb", "component as cb"), signs, "b")
+            other = _signed(open_.selectExpr("h", "kind", "w", "id as b", "n as nb", "component as cb"), signs, "b")
             pairs = _signed(open_.selectExpr("h", "kind", "id as a", "n as na", "component as ca"), signs, "a").join(other, ["h", "kind"])
             pairs = pairs.where(f"a < b and ca != cb and {_size_fits('na', 'nb')} and {_signs_fit('a', 'b', 'na', 'nb')}")
-            counted = pairs.groupBy("a", "b").agg(F.count_if(F.col("kind") == 1).alias("c"), F.max("kind").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+            counted = pairs.groupBy("a", "b").agg(F.sum(F.when(F.col("kind") == 1, F.col("w")).otherwise(0)).alias("c"), F.max("kind").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
             pairs = counted.where("k = 2 or c >= greatest(1, least(na, nb) div 25)").select("a", "b")
         else:
             pairs = open_.where(f"component != centre.component and {_size_fits('n', 'centre.n')}")
@@ -352,14 +367,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = sets.where("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("id"))
     classes = materialize(classes, "classes")
     one = sets.join(classes.where("id is not null").select(F.col("id").alias("doc_id"), *digest), ["doc_id", *digest])
-    one = one.selectExpr("doc_id as id", "n_shingles as n", "keys", "common", "subsets", *SIGNS)
-    rare = one.selectExpr("id", "n", "inline(concat(transform(keys, x -> struct(x as h, 1 as kind)), transform(subsets, x -> struct(x as h, 2 as kind))))")
+    one = one.selectExpr("doc_id as id", "n_shingles as n", "keys", "common", "head", *SIGNS)
+    rare = one.selectExpr("id", "n", f"inline(concat(transform(keys, x -> struct(x as h, 1 as kind)), {SUBSETS}))")
     rare = rare.repartition("h", "kind")
-    lists = rare.groupBy("h", "kind").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("f"), F.max("id").alias("l")).where("f != l")
-    rare = rare.join(lists.select("h", "kind"), ["h", "kind"], "left_semi")
-    common = one.selectExpr("id", "n", "explode(common) as h").select("id", "n", "h", F.lit(1).alias("kind"))
-    shared = materialize(rare.select("h", "kind", "id", "n").unionByName(common.select("h", "kind", "id", "n")), "shared")
-    enough = shared.groupBy("id").agg(F.count_if(F.col("kind") == 1).alias("c"), F.max("kind").alias("k"), F.max("n").alias("n"))
+    rare = rare.join(_distinct_lists(rare, "1L"), ["h", "kind"])
+    common = one.selectExpr("id", "n", "explode(common) as h").select("id", "n", "h", F.lit(1).alias("kind"), F.lit(1).cast("bigint").alias("w"))
+    shared = materialize(rare.select("h", "kind", "id", "n", "w").unionByName(common.select("h", "kind", "id", "n", "w")), "shared")
+    enough = shared.groupBy("id").agg(F.sum(F.when(F.col("kind") == 1, F.col("w")).otherwise(0)).alias("c"), F.max("kind").alias("k"), F.max("n").alias("n"))
     enough = enough.where("k = 2 or c >= greatest(1, ((4 * n + 4) div 5) div 25)").select("id")
     enough = materialize(enough, "enough")
     n_ids = enough.count()
