@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -39,6 +39,8 @@ _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E377
 #: At most this many ids are broadcast after a count; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 STAR_ROUNDS = 3
+#: Buckets before its own that an entry of the last round carries.
+EARLIER = 4
 #: Bits of a set's parity bitmap, 64 to a column.
 BITS = 512
 SIGNS = [f"s{i}" for i in range(BITS // 64)]
@@ -297,6 +299,32 @@ def _signs_fit(a: str, b: str, n: str, m: str) -> str:
     return f"9 * ({' + '.join(f'bit_count({a}_{s} ^ {b}_{s})' for s in SIGNS)}) <= {n} + {m}"
 
 
+def _earlier(entries: DataFrame) -> DataFrame:
+    """``entries`` with the EARLIER buckets of the same kind before theirs in which their id is, null where there are fewer."""
+    order = Window.partitionBy("id", "kind").orderBy("h")
+    return entries.select("*", *[F.lag("h", i + 1).over(order).alias(f"p{i}") for i in range(EARLIER)])
+
+
+def _across(entries: DataFrame, signs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket of kind 2, or enough buckets of kind 1.
+
+    A bucket leaves out the pairs that also meet in one of the few buckets just
+    before it: the first bucket that a pair shares has none before, so every
+    pair comes out, though not once for each bucket it shares.
+    """
+    earlier = [f"p{i}" for i in range(EARLIER)]
+    side = lambda x: _signed(entries.select("h", "kind", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), *[F.col(p).alias(f"{x}_{p}") for p in earlier]), signs, x)
+    seen = " or ".join(f"coalesce(a_{p} in ({', '.join(f'b_{q}' for q in earlier)}), false)" for p in earlier)
+    pairs = side("a").join(side("b"), ["h", "kind"])
+    pairs = pairs.where(f"a < b and ca != cb and {_size_fits('na', 'nb')} and {_signs_fit('a', 'b', 'na', 'nb')} and not ({seen})")
+    pairs = materialize(pairs.groupBy("a", "b").agg(F.max("kind").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb")), "candidates")
+    met = pairs.selectExpr("a as id").union(pairs.selectExpr("b as id")).distinct()
+    lists = entries.where("kind = 1").join(met, "id", "left_semi").groupBy("id").agg(F.collect_list(F.struct("h", "w")).alias("x"))
+    both = pairs.join(lists.selectExpr("id as a", "x as xa"), "a", "left").join(lists.selectExpr("id as b", "x as xb"), "b", "left")
+    count = "coalesce(aggregate(array_intersect(xa, xb), 0L, (s, y) -> s + y.w), 0L)"
+    return both.where(f"k = 2 or {count} >= greatest(1, least(na, nb) div 25)").select("a", "b")
+
+
 def find_links(shared: DataFrame, texts: DataFrame, signs: DataFrame) -> DataFrame | None:
     """Links (a, b) that join all components of the match graph; None if there are none.
 
@@ -320,11 +348,7 @@ def find_links(shared: DataFrame, texts: DataFrame, signs: DataFrame) -> DataFra
         open_ = state.join(spread, ["h", "kind"])
         last = turn == STAR_ROUNDS or m[2] <= 4 * m[1]
         if last:
-            other = _signed(open_.selectExpr("h", "kind", "w", "id as b", "n as nb", "component as cb"), signs, "b")
-            pairs = _signed(open_.selectExpr("h", "kind", "id as a", "n as na", "component as ca"), signs, "a").join(other, ["h", "kind"])
-            pairs = pairs.where(f"a < b and ca != cb and {_size_fits('na', 'nb')} and {_signs_fit('a', 'b', 'na', 'nb')}")
-            counted = pairs.groupBy("a", "b").agg(F.sum(F.when(F.col("kind") == 1, F.col("w")).otherwise(0)).alias("c"), F.max("kind").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-            pairs = counted.where("k = 2 or c >= greatest(1, least(na, nb) div 25)").select("a", "b")
+            pairs = _across(_earlier(open_.select("h", "kind", "w", "id", "n", "component")), signs)
         else:
             pairs = open_.where(f"component != centre.component and {_size_fits('n', 'centre.n')}")
             pairs = pairs.selectExpr("least(id, centre.id) as a", "greatest(id, centre.id) as b", "n + centre.n as total").distinct()
