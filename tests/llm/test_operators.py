@@ -175,6 +175,37 @@ def test_ngram_join(docs, empty, spark):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+def test_parity_bitmap_keeps_every_match():
+    r = np.random.default_rng(5)
+    for n in (1, 4, 9, 40, 300, 3000):
+        for _ in range(20):
+            pool = np.unique(r.integers(0, 2**63, n, np.uint64))
+            a, b = (np.unique(np.concatenate([pool, r.integers(0, 2**63, int(r.integers(0, max(1, n // 9) + 1)), np.uint64)])) for _ in range(2))
+            differ = sum(bin(int(x) & (2**64 - 1)).count("1") for x in ngram_join.parity_bitmap(a) ^ ngram_join.parity_bitmap(b))
+            assert differ <= len(np.setxor1d(a, b))
+            if ngram_join.matches(a, b):
+                assert 9 * differ <= len(a) + len(b)
+
+
+def test_pairs_across_components_against_brute_force(spark):
+    r = random.Random(8)
+    rows = [(h, kind, r.randint(1, 3), i, 100 + i % 5, i // 3) for i in range(40) for kind, most in ((1, 60), (2, 12)) for h in r.sample(range(most), most // 6)]
+    wide = {(h, kind): w for h, kind, w, *_ in rows}
+    rows = [(h, kind, wide[h, kind], *x) for h, kind, _, *x in rows]
+    signs = spark.createDataFrame([(i, *[0] * len(ngram_join.SIGNS)) for i in range(40)], "id bigint, " + ", ".join(f"{s} bigint" for s in ngram_join.SIGNS))
+    entries = spark.createDataFrame(rows, "h bigint, kind int, w bigint, id bigint, n int, component bigint")
+    got = ngram_join._across(ngram_join._earlier(entries), signs).collect()
+    lists = {i: {(h, k) for h, k, _, j, *_ in rows if j == i} for i in range(40)}
+    expected = set()
+    for a in range(40):
+        for b in range(a + 1, 40):
+            both = lists[a] & lists[b]
+            enough = any(k == 2 for _, k in both) or sum(wide[x] for x in both) >= 4
+            if a // 3 != b // 3 and enough:
+                expected.add((a, b))
+    assert len(got) == len({tuple(x) for x in got}) and {(x["a"], x["b"]) for x in got} == expected
+
+
 def test_token_counts_equal_the_unigram_model(docs, empty):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
