@@ -1,13 +1,13 @@
 """Line dedup by winnowing, in built-in expressions only.
 
 A window starts at every line and takes the next lines until it holds
-``min_words`` words, four lines at most. Its fingerprint is the least line hash
-of the window together with the hash of the whole window. A repeated run of at
-least ``min_words`` words always holds the window of its first line, so both
-copies give the same fingerprint: none is missed. Every fingerprint is joined
-with its first place in the corpus only (never all pairs); from there the match
-is extended line by line both ways, and runs of at least ``min_words`` words
-are deleted at the later place.
+``min_words`` words, however many lines that takes; another ends at every line
+and takes the lines before it likewise. Its fingerprint is the least line hash
+of the window together with the hash of the whole window. The windows inside a
+run of at least ``min_words`` words cover all of its lines, and each of them is
+itself a full repeat. So every fingerprint is joined with its first place in
+the corpus only (never all pairs), and the lines of a window that stood earlier
+are deleted: none is missed.
 """
 
 from __future__ import annotations
@@ -20,30 +20,55 @@ from .common import materialize, text_of, unused_name
 _LAST = 9223372036854775807
 
 
-def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """d, t (the document's key), pos, h, g (line hashes), w (words), and low, key (fingerprint; null without a full window)."""
+def window_table(docs: DataFrame, min_words: int) -> DataFrame:
+    """d, t (the document's key), first, last (lines of a window) and low, key (its fingerprint).
+
+    Blocks of 1, 2, 4 ... lines with fewer than ``min_words`` words are hashed
+    first, so a window is put together from a few blocks and a document of n
+    lines costs n log n, with many blank lines too.
+    """
     lines = F.split(text_of(), "\n")
     words = lambda x: F.size(F.split(F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")), " +"))
     count = lambda x: F.when(F.length(F.trim(F.translate(x, "\t\x0b\x0c\r", "    "))) == 0, 0).otherwise(words(x))
-    df = docs.select(
-        *_key(docs),
-        F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), count(x).alias("w"))).alias("a"),
-    )
-    at = lambda i, k: F.get("a", i + k)
+    line = lambda x: F.struct(F.xxhash64(x).alias("low"), F.xxhash64(x, F.hash(x)).alias("key"), count(x).alias("w"))
+
+    def doubled(levels: Column, _: Column) -> Column:
+        b, m = levels[0]["b"], levels[0]["m"]
+
+        def join(x: Column, i: Column) -> Column:
+            y = F.get(b, i + m)
+            both = F.struct(F.least(x["low"], y["low"]).alias("low"), F.xxhash64(x["key"], y["key"]).alias("key"), (x["w"] + y["w"]).alias("w"))
+            return F.when(x["w"] + y["w"] < min_words, both)
 
-    def window(i: Column, n: int) -> Column:
-        parts = [at(i, k) for k in range(n)]
-        low = parts[0]["h"] if n == 1 else F.least(*[p["h"] for p in parts])
-        return F.struct(low.alias("low"), F.xxhash64(*[p[f] for p in parts for f in ("h", "g")], F.lit(n)).alias("key"))
+        pairs = F.transform(F.slice(b, F.lit(1), F.greatest(F.size(b) - m, F.lit(0))), join)
+        return F.concat(F.array(F.struct((m * 2).alias("m"), pairs.alias("b"))), levels)
 
-    def whole(x: Column, i: Column) -> Column:
-        w = [F.coalesce(at(i, k)["w"], F.lit(0)) for k in range(3)]
-        fp = F.when(w[0] >= min_words, window(i, 1)).when(w[0] + w[1] >= min_words, window(i, 2))
-        fp = fp.when(w[0] + w[1] + w[2] >= min_words, window(i, 3)).when(at(i, 3).isNotNull(), window(i, 4))
-        return F.struct(x["h"].alias("h"), x["g"].alias("g"), x["w"].alias("w"), fp.alias("fp"))
+    def window(i: Column, back: bool) -> Column:
+        state = lambda at, low, key, w: F.struct(at.alias("at"), low.alias("low"), key.alias("key"), w.alias("w"))
 
-    df = df.select("d", "t", F.transform("a", whole).alias("a")).select("d", "t", F.posexplode_outer("a").alias("pos", "x"))
-    return df.select("d", "t", "pos", "x.h", "x.g", "x.w", "x.fp.low", "x.fp.key")
+        def take(s: Column, level: Column) -> Column:
+            x = F.get(level["b"], s["at"] - level["m"] + 1 if back else s["at"])
+            at = s["at"] - level["m"] if back else s["at"] + level["m"]
+            more = state(at, F.least(s["low"], x["low"]), F.xxhash64(s["key"], x["key"]), s["w"] + x["w"])
+            return F.when(s["w"] + x["w"] < min_words, more).otherwise(s)
+
+        def whole(s: Column) -> Column:
+            x, end = F.get("a", s["at"]), F.get("a", i)
+            low, key = F.least(s["low"], x["low"]).alias("low"), F.xxhash64(s["key"], x["key"]).alias("key")
+            first, last = (s["at"], i) if back else (i, s["at"])
+            # a window that ends at a line and is also the one that starts at its first line counts once
+            good = x.isNotNull() & (s["w"] + x["w"] - end["w"] >= min_words) if back else x.isNotNull()
+            return F.when(good, F.struct(first.alias("first"), last.alias("last"), low, key))
+
+        return F.aggregate("levels", state(i, F.lit(_LAST), F.lit(int(back)).cast("long"), F.lit(0)), take, whole)
+
+    df = docs.select(*_key(docs), F.transform(lines, line).alias("a"))
+    steps = F.sequence(F.lit(0), F.floor(F.log2(F.size("a"))).cast("int"))
+    ones = F.transform("a", lambda x: F.when(x["w"] < min_words, x))
+    df = df.select("d", "t", "a", F.aggregate(steps, F.array(F.struct(F.lit(1).alias("m"), ones.alias("b"))), doubled).alias("levels"))
+    windows = F.flatten(F.transform("a", lambda _, i: F.array(window(i, False), window(i, True))))
+    df = df.select("d", "t", F.explode_outer(F.filter(windows, lambda x: x.isNotNull())).alias("x"))
+    return df.where("x is not null").select("d", "t", "x.first", "x.last", "x.low", "x.key")
 
 
 def _key(docs: DataFrame) -> tuple[Column, Column]:
@@ -56,24 +81,14 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     d is the doc_id (null: after all others), t the hash of the text; earlier
     means less (d, t, line number).
     """
-    lines = materialize(line_table(docs, min_words), "lines")
-    place = F.struct("d", "t", "pos")
-    prints = lines.where("key is not null")
+    prints = materialize(window_table(docs, min_words), "windows")
+    place = F.struct("d", "t", "first")
     firsts = prints.groupBy("low", "key").agg(F.min(place).alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = prints.join(firsts, ["low", "key"]).where(place != F.col("src"))
-    diagonals = met.select(
-        "d", "t", F.col("src.d").alias("sd"), F.col("src.t").alias("st"), (F.col("pos") - F.col("src.pos")).alias("shift")
-    ).distinct()
-    source = lines.select(F.col("d").alias("sd"), F.col("t").alias("st"), F.col("pos").alias("spos"), "h", "g").distinct()
-    equal = (
-        diagonals.join(lines.select("d", "t", "pos", "h", "g", "w").distinct(), ["d", "t"])
-        .withColumn("spos", F.col("pos") - F.col("shift"))
-        .join(source, ["sd", "st", "spos", "h", "g"])
-    )
-    line = Window.partitionBy("d", "t", "sd", "st", "shift").orderBy("pos")
-    runs = equal.withColumn("run", F.col("pos") - F.row_number().over(line)).groupBy("d", "t", "sd", "st", "shift", "run")
-    runs = runs.agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.sum("w").alias("words"))
-    return runs.where(F.col("words") >= min_words).select("d", "t", "first", "last").distinct()
+    met = prints.join(firsts, ["low", "key"]).where(place != F.col("src")).select("d", "t", "first", "last").distinct()
+    line = Window.partitionBy("d", "t").orderBy("first", "last")
+    reach = F.max("last").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    runs = met.withColumn("new", F.when(F.col("first") <= reach + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(line))
+    return runs.groupBy("d", "t", "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
 
 
 def winnow_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:

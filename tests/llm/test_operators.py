@@ -267,6 +267,39 @@ def test_line_dedup_extends_runs(spark):
     assert got[2]["text"] == "c\nd" and got[3]["n_deleted"] == 0 and got[4]["text"] == ""
 
 
+def brute_dedup(rows, min_words=50):
+    """Lines left of each text: those in a run of min_words words that stood at an earlier place go."""
+    seen, out = set(), {}
+    for i, text in rows:
+        lines = text.split("\n")
+        dead = set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(len(x.split()) for x in lines[a:b]) >= min_words:
+                    if tuple(lines[a:b]) in seen:
+                        dead |= set(range(a, b))
+                    seen.add(tuple(lines[a:b]))
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in dead)
+    return out
+
+
+def test_line_dedup_of_short_lines_against_brute_force(spark):
+    x = [f"line {k} " + long_text(k, 9) for k in range(1, 6)]
+    rows = [(1, "\n".join(x[:4])), (2, "\n".join(x[1:])), (3, "\n".join(["own 3", *x, "end 3"])), (4, "\n".join(["own 4", *x, "end 4"]))]
+    ha = [(11, "\n".join(["ha ha ha"] * 4)), (12, "\n".join(["ha ha ha"] * 20)), (13, "\n".join(["ha ha ha"] * 20))]
+    r, pool = random.Random(3), [long_text(k, n) for k, n in enumerate([1, 2, 3, 5, 9, 14, 30, 55])] + ["", " \t"]
+    base = [[r.choice(pool) for _ in range(30)] for _ in range(3)]
+    mixed = []
+    for i in range(60):
+        b, at = r.choice(base), r.randrange(25)
+        part = b[at : at + r.randrange(1, 25)]
+        mixed.append((20 + i, "\n".join([f"own {i}"] * r.randrange(2) + part + [r.choice(pool)] * r.randrange(3))))
+    rows += ha + mixed + [(100, "\n" * 3000 + x[0]), (101, "a\nb")]
+    got = {d["doc_id"]: d["text"] for d in line_dedup.winnow_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[4] == "own 4\nend 4" and got[13] == ""
+    assert got == brute_dedup([x for x in rows if x[0] != 100]) | {100: rows[-2][1]}
+
+
 def test_mixing(docs, empty, spark):
     out = mixing.temperature_mix(docs)
     assert "epoch" in out.columns and out.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
