@@ -5,7 +5,8 @@ Dirichlet prior; all others score a small negative number. A linear-time scan
 finds all maximal scoring segments. How likely a segment's score is by chance
 follows the extreme-value law of such scans (scale lambda from the token
 frequencies of clean text, location growing with log length); a logistic
-calibration on held-back training rows turns it into a probability.
+calibration turns it into a probability. It is fitted on features that come
+from the other folds' lexicon, so all training rows serve both.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ _TOKEN = re.compile(r"[^\W\d_]+")
 #: Bound on the labelled rows a model is fitted on: those of least hash.
 MAX_TRAIN = 20_000
 NEUTRAL = -0.1
-MIN_Z = 3.3
+FOLDS = 5
+#: Evidence (standard errors of the log-odds) a token needs; cross-fitting picks one of these.
+EVIDENCE = (5.0, 4.5, 4.0, 3.6, 3.3, 3.0, 2.5, 2.0, 1.64)
 PRIOR = 0.5
 THRESHOLD = 0.3
 
@@ -65,6 +68,12 @@ def maximal_segments(scored: list[tuple[int, float]], neutral: float = NEUTRAL)
     return [(int(a), int(b), r - l) for a, b, l, r in found]
 
 
+def _features(scored: list[tuple[int, float]], n_words: int, scale: float) -> list[float]:
+    segments = maximal_segments(scored) if scored else []
+    best = max((s for _, _, s in segments), default=0.0)
+    return [1.0, scale * best, math.log1p(n_words) / 4, math.log1p(max(0, len(segments) - 1))]
+
+
 @dataclass
 class ToxicityModel:
     """Token scores, extreme-value scale and calibration; picklable and bounded by MAX_TRAIN documents."""
@@ -77,10 +86,7 @@ class ToxicityModel:
         """Intercept, scaled best score, log length, log of further segments."""
         words = tokens(text)
         get = self.lexicon.get
-        scored = [(i, s) for i, s in enumerate(map(get, words)) if s is not None]
-        segments = maximal_segments(scored) if scored else []
-        best = max((s for _, _, s in segments), default=0.0)
-        return [1.0, self.scale * best, math.log1p(len(words)) / 4, math.log1p(max(0, len(segments) - 1))]
+        return _features([(i, s) for i, s in enumerate(map(get, words)) if s is not None], len(words), self.scale)
 
     def score(self, text: str | None) -> float:
         z = sum(w * x for w, x in zip(self.weights, self.features(text)))
@@ -103,59 +109,86 @@ def _train_rows(labels: DataFrame, max_train: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> ToxicityModel:
     """Fit on at most ``max_train`` labelled documents that aren't held out.
 
-    Token counts come from the half whose doc_id hash is even, calibration from
-    the other. Without a toxic and a clean row the model scores all texts low.
+    Folds follow the doc_id hash. The texts of a fold get features from the
+    lexicon of the others; these choose the evidence a token needs (least log
+    loss) and the calibration. The lexicon itself comes from all folds. Without
+    a toxic and a clean row the model scores all texts low.
     """
     train = _train_rows(labels, max_train)
     rows = docs.select("doc_id", "text").join(F.broadcast(train), "doc_id")  # at most max_train rows
 
+    rows = rows.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int").alias("fold"))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        size, n = [0, 0], [0, 0]
+        seen: Counter = Counter()
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+            for text, toxic, fold in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = tokens(text.as_py())
-                seen[toxic].update(set(words))
-                size[toxic] += len(words)
-                n[toxic] += 1
-        words = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(["", *words]), pa.array([n[0], *(seen[0][w] for w in words)], pa.int64()), pa.array([n[1], *(seen[1][w] for w in words)], pa.int64()), pa.array([size[0], *[0] * len(words)], pa.int64())],
-            ["word", "clean", "toxic_", "size"],
-        )
-
-    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))
-    counted = rows.where(half == 0).select("text", "toxic").mapInArrow(count, "word string, clean bigint, toxic_ bigint, size bigint")
-    counted = counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic_", "size")])
-    # words of fewer than three toxic documents can't reach MIN_Z
-    found = counted.where("word = '' or toxic_ >= 3").collect()
+                seen.update((w, fold, toxic) for w in set(words))
+                seen["", fold, toxic] += 1
+                seen["", fold, 2] += 0 if toxic else len(words)
+        columns = zip(*((*k, n) for k, n in seen.items())) if seen else [[]] * 4
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["word", "fold", "kind", "n"])
+
+    counted = rows.mapInArrow(count, "word string, fold int, kind int, n bigint")
+    cell = lambda f, k: F.sum(F.when((F.col("fold") == f) & (F.col("kind") == k), F.col("n")).otherwise(0))
+    # clean documents, toxic documents and (without a word) tokens of the clean ones, for each fold
+    counted = counted.groupBy("word").agg(*[F.array(*[cell(f, k) for f in range(FOLDS)]).alias(c) for k, c in enumerate(("clean", "toxic_", "size"))])
+    # words of fewer than three toxic documents are left to chance too easily
+    found = counted.where("word = '' or aggregate(toxic_, 0L, (a, x) -> a + x) >= 3").collect()
     sums = next((r for r in found if r["word"] == ""), None)
-    if not sums or not sums["clean"] or not sums["toxic_"]:
+    if not sums or not sum(sums["clean"]) or not sum(sums["toxic_"]):
         return ToxicityModel(weights=(-4.0, 0.0, 0.0, 0.0))
-    lexicon, mass = {}, {}
-    n0, n1, size = sums["clean"], sums["toxic_"], max(1, sums["size"])
-    for r in found:
-        if r["word"]:
-            prior = PRIOR + 10 * (r["clean"] + r["toxic_"]) / (n0 + n1)
-            a, b = r["toxic_"] + prior, r["clean"] + PRIOR
-            odds = math.log(a / (n1 + 10 + PRIOR - r["toxic_"])) - math.log(b / (n0 + PRIOR - r["clean"] + 10))
-            if odds > 0 and odds / math.sqrt(1 / a + 1 / b) >= MIN_Z:
-                lexicon[r["word"]], mass[r["word"]] = odds, b / size
-    model = ToxicityModel(lexicon, _scale(lexicon, mass))
-    # at most max_train / 2 rows of four numbers
-    held = rows.where(half == 1).select("text", "toxic")
+
+    def evidence(without: int | None = None) -> dict[str, tuple[float, float, float]]:
+        """Log-odds, standard errors of it and frequency in clean text of each word, without a fold."""
+        total = lambda xs: sum(xs) - (0 if without is None else xs[without])
+        n0, n1, size, out = total(sums["clean"]), total(sums["toxic_"]), max(1, total(sums["size"])), {}
+        for r in found:
+            clean, toxic = total(r["clean"]), total(r["toxic_"])
+            if r["word"] and toxic >= 3:
+                prior = PRIOR + 10 * (clean + toxic) / (n0 + n1)
+                a, b = toxic + prior, clean + PRIOR
+                odds = math.log(a / (n1 + 10 + PRIOR - toxic)) - math.log(b / (n0 + PRIOR - clean + 10))
+                if odds > 0 and odds / math.sqrt(1 / a + 1 / b) >= EVIDENCE[-1]:
+                    out[r["word"]] = odds, odds / math.sqrt(1 / a + 1 / b), b / size
+        return out
+
+    def at_least(z: float, words: dict[str, tuple[float, float, float]]) -> ToxicityModel:
+        held = {w: x for w, x in words.items() if x[1] >= z}
+        lexicon = {w: x[0] for w, x in held.items()}
+        return ToxicityModel(lexicon, _scale(lexicon, {w: x[2] for w, x in held.items()}))
+
+    folds = [evidence(f) for f in range(FOLDS)]
+    scales = [[at_least(z, words).scale for z in EVIDENCE] for words in folds]
+    shared = docs.sparkSession.sparkContext.broadcast((folds, scales))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folds, scales = shared.value
         for batch in batches:
-            x = [model.features(t.as_py()) for t in batch.column(0)]
+            x = []
+            for text, f in zip(batch.column(0), batch.column(2).to_pylist()):
+                words = tokens(text.as_py())
+                hits = [(i, h) for i, h in enumerate(map(folds[f].get, words)) if h is not None]
+                x.append([v for z, scale in zip(EVIDENCE, scales[f]) for v in _features([(i, h[0]) for i, h in hits if h[1] >= z], len(words), scale)])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    got = held.mapInArrow(featured, "x array<double>, y int").collect()
-    if got and 0 < sum(r["y"] for r in got) < len(got):
-        model.weights = _logistic(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float))
+    # at most max_train rows of four numbers for each threshold; sorted, so that sums don't depend on the order of tasks
+    got = sorted((r["y"], r["x"]) for r in rows.mapInArrow(featured, "x array<double>, y int").collect())
+    y, x = np.array([r[0] for r in got], float), np.array([r[1] for r in got]).reshape(len(got), len(EVIDENCE), 4)
+    weights = [_logistic(x[:, k], y) for k in range(len(EVIDENCE))]
+    k = min(range(len(EVIDENCE)), key=lambda k: _log_loss(x[:, k], y, weights[k]))
+    model = at_least(EVIDENCE[k], evidence())
+    model.weights = weights[k]
     return model
 
 
+def _log_loss(x: np.ndarray, y: np.ndarray, w: tuple[float, ...]) -> float:
+    z = np.clip(x @ np.array(w), -30, 30)
+    return float((np.log1p(np.exp(z)) - y * z).sum())
+
+
 def _scale(lexicon: dict[str, float], mass: dict[str, float]) -> float:
     """lambda > 0 with sum of frequency * exp(lambda * score) = 1 over a clean text's tokens."""
     if not lexicon:

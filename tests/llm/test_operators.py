@@ -138,6 +138,22 @@ def test_toxicity(spark, empty):
     assert toxicity.toxicity(empty, model).count() == 0
 
 
+def test_toxicity_learns_from_all_training_rows(spark):
+    rng = random.Random(6)
+    rare, rows, labels = [f"vile{chr(97 + k)}" for k in range(12)], [], []
+    for i in range(1300):
+        words = [rng.choice(WORDS) for _ in range(40)]
+        if i % 10 == 0:
+            words[rng.randrange(40)] = rare[i // 10 % 12]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 10 == 0)))
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, lab)
+    assert set(rare) <= set(model.lexicon)
+    got = toxicity.toxicity(docs, model).where(toxicity.held_out(F.col("doc_id"))).collect()
+    assert all(r["predicted"] == (r["doc_id"] % 10 == 0) for r in got)
+
+
 def test_maximal_segments_hold_the_best_sum():
     rng = random.Random(2)
     for _ in range(50):
