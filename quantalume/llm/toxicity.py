@@ -96,7 +96,7 @@ class ToxicityModel:
         """Segments whose chance in a clean text of this length is at most ``level``."""
         words = tokens(text)
         scored = [(i, s) for i, s in enumerate(map(self.lexicon.get, words)) if s is not None]
-        chance = lambda s: 1 - math.exp(-min(700.0, len(words)) * math.exp(-self.scale * s))
+        chance = lambda s: 1 - math.exp(-len(words) * math.exp(-self.scale * s))
         return [x for x in maximal_segments(scored) if chance(x[2]) <= level] if scored else []
 
 

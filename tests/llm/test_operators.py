@@ -154,6 +154,11 @@ def test_toxicity_learns_from_all_training_rows(spark):
     assert all(r["predicted"] == (r["doc_id"] % 10 == 0) for r in got)
 
 
+def test_toxic_passages_of_long_texts():
+    model = toxicity.ToxicityModel({"bad": 10.06}, 1.0)
+    assert len(model.passages("bad " + "word " * 500)) == 1 and model.passages("bad " + "word " * 20_000) == []
+
+
 def test_maximal_segments_hold_the_best_sum():
     rng = random.Random(2)
     for _ in range(50):
