@@ -90,3 +90,12 @@ def test_kendall_counts_against_all_pairs():
     x, y = rng.integers(0, 6, 60), rng.integers(0, 6, 60)
     s = sum(int(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j])) for i in range(60) for j in range(i))
     assert ranks.kendall_counts(x.astype(float), y.astype(float))[0] == s
+
+
+def test_poibin_query_has_a_row_for_every_order(spark):
+    from quantalume.plans.queries import QUERIES
+
+    path = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{path}/lineitem.parquet").select("l_orderkey").distinct()
+    got = QUERIES["poibin_cdf"](spark, path)
+    assert got.count() == orders.count() and got.where("cdf is null or cdf < 0 or cdf > 1").count() == 0
