@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,18 +34,25 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quantalume/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quantalume_path = path
+    return out
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files behind a table that :func:`materialize` made."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/quantalume/" in f:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(conf).delete(path, True)
+def drop_table(*tables: DataFrame) -> None:
+    """Delete the files behind tables that :func:`materialize` made.
+
+    Only for tables whose readers have been written themselves: nothing that is
+    still to run, or to run again after a lost executor, may need them. The
+    collection lets Spark's cleaner delete shuffle files that nothing refers to.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._quantalume_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

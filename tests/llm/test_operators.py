@@ -210,23 +210,48 @@ def test_parity_bitmap_keeps_every_match():
 
 def test_pairs_across_components_against_brute_force(spark):
     r = random.Random(8)
-    rows = [(h, kind, r.randint(1, 3), i, 100 + i % 5, i // 3) for i in range(40) for kind, most in ((1, 60), (2, 12)) for h in r.sample(range(most), most // 6)]
-    wide = {(h, kind): w for h, kind, w, *_ in rows}
-    rows = [(h, kind, wide[h, kind], *x) for h, kind, _, *x in rows]
+    # odd buckets are of 2-subsets
+    rows = [(2 * h + odd, r.randint(1, 3), i, 100 + i % 5, i // 3) for i in range(40) for odd, most in ((0, 60), (1, 12)) for h in r.sample(range(most), most // 6)]
+    wide = {h: w for h, w, *_ in rows}
+    rows = [(h, wide[h], *x) for h, _, *x in rows]
     signs = spark.createDataFrame([(i, *[0] * len(ngram_join.SIGNS)) for i in range(40)], "id bigint, " + ", ".join(f"{s} bigint" for s in ngram_join.SIGNS))
-    entries = spark.createDataFrame(rows, "h bigint, kind int, w bigint, id bigint, n int, component bigint")
+    entries = spark.createDataFrame(rows, "h bigint, w bigint, id bigint, n int, component bigint")
     got = ngram_join._across(ngram_join._earlier(entries), signs).collect()
-    lists = {i: {(h, k) for h, k, _, j, *_ in rows if j == i} for i in range(40)}
+    lists = {i: {h for h, _, j, *_ in rows if j == i} for i in range(40)}
     expected = set()
     for a in range(40):
         for b in range(a + 1, 40):
             both = lists[a] & lists[b]
-            enough = any(k == 2 for _, k in both) or sum(wide[x] for x in both) >= 4
+            enough = any(h & 1 for h in both) or sum(wide[x] for x in both) >= 4
             if a // 3 != b // 3 and enough:
                 expected.add((a, b))
     assert len(got) == len({tuple(x) for x in got}) and {(x["a"], x["b"]) for x in got} == expected
 
 
+def test_ngram_join_of_null_equal_and_repeated_ids(spark):
+    base, other = long_text(1, 300), long_text(2, 300)
+    near = base.replace(" w5x ", " w6x ")
+    rows = [(5, base), (None, near), (7, other), (7, base), (9, other), (9, other), (None, other + " z"), (None, "alone here"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["text_hash"]): r["component_id"] for r in ngram_join._members(df).collect()}
+    keys = [(r["doc_id"], r["t"]) for r in df.select("doc_id", F.xxhash64("text").alias("t")).collect()]
+    assert [got[k] for k in keys] == [5, 5, 7, 5, 7, 7, 7, None, 3]
+    kept = [tuple(r) for r in ngram_join.one_of_each(df).collect()]
+    assert sorted(kept, key=str) == sorted([(5, base), (7, other), (None, near), (None, other + " z"), (None, "alone here"), (3, None)], key=str)
+    again = spark.createDataFrame([(1, base, 1), (1, base, 2), (2, near, 3)], "doc_id long, text string, d_ int")
+    kept = ngram_join.one_of_each(again).collect()
+    assert len(kept) == 1 and kept[0]["doc_id"] == 1
+
+
+def test_frequency_sketch_counts_all_documents(spark):
+    rows = [(i, long_text(i, 30) + " " + long_text(99, 12)) for i in range(300)]
+    counts, mean_list = ngram_join._statistics(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+    sets = [ngram_join.shingle_set(t) for _, t in rows]
+    every = np.concatenate(sets)
+    assert counts.sum() == len(every) and (counts == np.bincount((every >> ngram_join.SLOT_SHIFT).astype(int), minlength=ngram_join.SLOTS)).all()
+    assert mean_list == pytest.approx(len(every) / len(np.unique(every)), rel=0.1)
+
+
 def test_token_counts_equal_the_unigram_model(docs, empty):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
