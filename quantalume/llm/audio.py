@@ -165,13 +165,24 @@ def texts_as_audio(docs: DataFrame, unit: int = BLOCK_BYTES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [(x.as_py() or "").encode() for x in batch.column(1)]
-            media = [wave(r + b"\0" * (max(unit, -(-len(r) // unit) * unit) - len(r))) for r in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.large_binary())], ["doc_id", "n_bytes", "media"])
+            for part in slices(batch, 1):
+                raw = [(x.as_py() or "").encode() for x in part.column(1)]
+                media = [wave(r + b"\0" * (max(unit, -(-len(r) // unit) * unit) - len(r))) for r in raw]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     schema = "doc_id bigint, n_bytes bigint, media binary"
-    run_ = lambda it: (b.set_column(2, "media", b.column(2).cast(pa.binary())) for b in run(it))
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run_, schema)
+    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, schema)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts whose values of one column take some ``most`` bytes; a part has a row at least."""
+    ends = np.cumsum([0 if x is None else len(x) for x in (v.as_buffer() if v.is_valid else None for v in batch.column(column))])
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        take = max(1, int(np.searchsorted(ends[start:], before + most)))
+        yield batch.slice(start, take)
+        start += take
 
 
 def decode_media(media: DataFrame, column: str = "media") -> DataFrame:
@@ -209,39 +220,42 @@ def media_features(media: DataFrame) -> DataFrame:
     """Digests of (doc_id, n_bytes, media) and a feature from the decoded samples.
 
     The feature holds, for the samples as mu-law, as A-law and as ADPCM blocks,
-    the largest size and the mean square, and the CRC of the resampled mu-law PCM.
+    the largest size and the mean square, and the CRC of the resampled mu-law
+    PCM. ADPCM reads whole blocks only; without any its figures are 0, as those
+    of media without samples. Null media give null digests and feature.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start = 0
-            sizes = np.array([len(x.as_buffer()) for x in batch.column(2)], np.int64)
-            while start < batch.num_rows:  # some 4 MB at a time
-                take = max(1, int(np.searchsorted(np.cumsum(sizes[start:]), 4 << 20)))
-                yield digest(batch.slice(start, take))
-                start += take
+            for part in slices(batch, 2):
+                yield digest(part)
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, codes = [], []
-        for doc_id, n, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+        rows, codes, at = [], [], []
+        for i, (doc_id, n, m) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))):
             m = m.as_py()
-            _, _, _, data = parse_wave(m)
+            if m is None:
+                rows.append([doc_id, n, *[None] * 6])
+                continue
+            data = parse_wave(m)[3]
             codes.append(np.frombuffer(data, np.uint8))
+            at.append(i)
             rows.append([doc_id, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK_BYTES:]), len(m), hashlib.sha256(m).hexdigest()])
-        every = np.concatenate(codes) if codes else np.zeros(0, np.uint8)
-        firsts = np.concatenate([[0], np.cumsum([len(c) for c in codes])])[:-1].astype(np.int64)
-        adpcm = decode_adpcm(every.reshape(-1, BLOCK_BYTES)).astype(np.int64)
-        parts = []
-        for tag in (MULAW, ALAW):
-            x = _TABLES[tag].astype(np.int64)
-            parts += [np.maximum.reduceat(np.abs(x)[every], firsts), np.add.reduceat((x * x)[every], firsts)]
-        blocks = firsts // BLOCK_BYTES
-        parts += [np.maximum.reduceat(np.abs(adpcm).max(1), blocks), np.add.reduceat((adpcm * adpcm).sum(1), blocks)]
-        for i, (row, c) in enumerate(zip(rows, codes)):
-            n, a = len(c), len(c) // BLOCK_BYTES * (1 + 2 * (BLOCK_BYTES - 4))
+        # the blocks of all media are decoded together
+        blocks = [c[: len(c) // BLOCK_BYTES * BLOCK_BYTES].reshape(-1, BLOCK_BYTES) for c in codes]
+        adpcm = decode_adpcm(np.concatenate([*blocks, np.zeros((0, BLOCK_BYTES), np.uint8)])).astype(np.int64)
+        largest, squares = np.abs(adpcm).max(1), (adpcm * adpcm).sum(1)
+        done = 0
+        for i, c, b in zip(at, codes, blocks):
+            parts = []
+            for tag in (MULAW, ALAW):
+                x = _TABLES[tag].astype(np.int64)[c]
+                parts += [int(np.abs(x).max(initial=0)), int((x * x).sum()) // max(1, len(c))]
+            own = slice(done, done + len(b))
+            done += len(b)
+            parts += [int(largest[own].max(initial=0)), int(squares[own].sum()) // max(1, len(b) * (1 + 2 * (BLOCK_BYTES - 4)))]
             up = resample_double(_TABLES[MULAW][c])
-            m, ms, l, ls, p, ps = (int(x[i]) for x in parts)
-            row.append(f"mulaw {m} {ms // n} alaw {l} {ls // n} adpcm {p} {ps // a} pcm16k {zlib.crc32(up.astype('<i2').tobytes())}")
+            rows[i].append("mulaw {} {} alaw {} {} adpcm {} {} pcm16k {}".format(*parts, zlib.crc32(up.astype("<i2").tobytes())))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in DIGEST.split(", ")])
 

@@ -20,13 +20,16 @@ from .common import WORD, materialize, text_of, unused_name
 _SECTIONS, _ROUNDS = 64, 4
 
 
-def token_shares(docs: DataFrame) -> DataFrame:
-    """source, tokens, rows; tokens are words plus one end mark for each document."""
-    tokens = F.regexp_count(text_of(), F.lit(WORD)) + 1
+def keyed(docs: DataFrame, seed: int = 11) -> DataFrame:
+    """source, n (words plus one end mark) and r (a hash) of each document: all that shares and blocks need of it."""
+    n = (F.regexp_count(text_of(), F.lit(WORD)) + 1).cast("long")
+    return docs.select("source", n.alias("n"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("r"))
+
+
+def token_shares(rows: DataFrame) -> DataFrame:
+    """source, tokens, rows of what :func:`keyed` gives."""
     # salted first, as one source may hold most rows
-    salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(64))
-    part = docs.select("source", tokens.cast("long").alias("n"), salt.alias("salt")).groupBy("source", "salt")
-    part = part.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows"))
+    part = rows.groupBy("source", F.pmod("r", F.lit(64)).alias("salt")).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     return part.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows"))
 
 
@@ -91,7 +94,8 @@ def temperature_mix(
     gives no rows; a column named epoch is replaced, others pass through.
     """
     docs = docs.drop("epoch")
-    totals = materialize(token_shares(docs), "shares")
+    rows = materialize(keyed(docs, seed), "keyed")
+    totals = materialize(token_shares(rows), "shares")
     exponent = find_exponent(totals, target_entropy, max_repeats)
     whole = totals.agg(F.sum("tokens")).first()[0] or 1
     p = F.col("tokens") / F.lit(float(whole))
@@ -113,7 +117,8 @@ def temperature_mix(
     df = df.join(hint(plan.withColumnRenamed("plan_", p_)), s)
     df = df.withColumn(b, F.pmod(F.xxhash64(r, F.lit(1)), F.col(p_)["blocks"]).cast("int"))
     # what stands before each block, in block order; a row for each block
-    blocks = df.groupBy(s, b).agg(F.sum(n).alias("in_"))
+    blocks = rows.select(F.struct("source").alias(s), "n", "r").join(hint(plan.withColumnRenamed("plan_", p_)), s)
+    blocks = blocks.groupBy(s, F.pmod(F.xxhash64("r", F.lit(1)), F.col(p_)["blocks"]).cast("int").alias(b)).agg(F.sum("n").alias("in_"))
     before = F.sum("in_").over(Window.partitionBy(s).orderBy(b).rowsBetween(Window.unboundedPreceding, -1))
     u = unused_name(docs, "before_")
     blocks = blocks.select(s, b, F.coalesce(before, F.lit(0)).alias(u))

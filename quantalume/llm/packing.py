@@ -107,15 +107,18 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return bin_of, offset, np.array(fill, np.int64)
 
 
-PACKED = PIECES + ", sequence_id bigint, offset bigint, room bigint, certified boolean, gives boolean"
+PACKED = PIECES + ", row bigint, sequence_id bigint, offset bigint, room bigint, certified boolean, gives boolean"
 
 
 def _pack_groups(pieces: DataFrame, groups: int, capacity: int, turn: int) -> DataFrame:
-    """Pack the pieces of each of ``groups`` hash groups; sequence ids start with turn and group."""
-    group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(groups)).cast("int")
+    """Pack the pieces of each of ``groups`` hash groups; sequence ids start with turn and group.
+
+    The hash is of the row's own number, so repeated rows spread over groups.
+    """
+    group = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(groups)).cast("int")
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        rows = rows.sort_values(["length", "doc_id", "piece", "row"], ascending=[False, True, True, True], kind="stable")
         sizes = rows["length"].to_numpy(np.int64)
         bin_of, offset, fill = best_fit_decreasing(sizes, capacity)
         certified = len(fill) <= lower_bound(sizes, capacity)
@@ -123,7 +126,7 @@ def _pack_groups(pieces: DataFrame, groups: int, capacity: int, turn: int) -> Da
         gives = (room > 0) & (not certified)
         gives[int(room.argmax())] |= bool(room.max() > 0)
         return pd.DataFrame(
-            {c: rows[c].to_numpy() if c != "doc_id" else rows[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
+            {c: rows[c].to_numpy() if c != "doc_id" else rows[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "row")}
             | {"sequence_id": ((turn << 40 | int(key[0])) << 20) + bin_of, "offset": offset, "room": room[bin_of], "certified": certified, "gives": gives[bin_of]}
         )
 
@@ -136,40 +139,39 @@ def best_fit_pack(
     end_id: int = 2,
     vocabulary: str | None = None,
     partition_rows: int = PARTITION_ROWS,
-    turns: int = 4,
+    least_gain: float = 1e-4,
 ) -> DataFrame:
     """Pack documents (doc_id, text) into sequences of at most ``capacity`` tokens.
 
     Returns a row for each piece: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset, room (free tokens of the sequence) and certified (its
-    partition's bin count met the lower bound). Only documents longer than
-    ``capacity`` are cut. Null and empty texts give a piece with the end id
+    partition's bin count met the lower bound). Exchanges go on until one saves
+    less than ``least_gain`` of the bins it was given, or one partition is left.
+    Only documents longer than ``capacity`` are cut. Null and empty texts give a piece with the end id
     alone; a null doc_id stays null; repeated rows are packed each; an empty
     table gives no rows; other columns are not read.
     """
-    pieces = materialize(pieces_of(docs, vocabulary or vocabulary_path(), capacity, end_id), "pieces")
+    pieces = pieces_of(docs, vocabulary or vocabulary_path(), capacity, end_id)
+    pieces = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     done: DataFrame | None = None
-    rows = pieces.count()
-    pool, before = pieces, None
-    for turn in range(turns):
-        if not rows:
-            break
+    pool, rows, turn = pieces, pieces.count(), 0
+    given: DataFrame | None = None  # the pool as it was packed before, and its bins
+    bins_given = 0
+    while rows:
         groups = -(-rows // partition_rows)
         packed = materialize(_pack_groups(pool, groups, capacity, turn), f"packed{turn}")
-        bins = packed.agg(F.sum(F.expr("if(offset = 0, 1, 0)")), F.sum(F.expr("if(gives, 1, 0)"))).first()
-        if before is not None and bins[0] > before[0]:
-            done = done.unionByName(before[1])  # the exchange was worse: keep what gave the pool
+        bins, giving_rows, giving_bins = packed.agg(F.count_if(F.col("offset") == 0), F.count_if("gives"), F.count_if(F.col("gives") & (F.col("offset") == 0))).first()
+        gain = bins_given - bins
+        if given is not None and gain < max(1, least_gain * bins_given):
+            best = packed if gain > 0 else given  # an exchange that needs more bins is undone
+            done = best if done is None else done.unionByName(best)
             break
-        if groups == 1:
+        if groups == 1 or not giving_rows:
             done = packed if done is None else done.unionByName(packed)
             break
-        kept, giving = packed.where(~F.col("gives")), packed.where("gives")
-        if turn == turns - 1:
-            kept = packed
+        kept, given = packed.where(~F.col("gives")), packed.where("gives")
         done = kept if done is None else done.unionByName(kept)
-        pool = giving.select(*[x.split()[0] for x in PIECES.split(", ")])
-        rows = int(bins[1] or 0)
-        before = (giving.where("offset = 0").count(), giving)
+        pool, rows, bins_given, turn = given.select("row", *[x.split()[0] for x in PIECES.split(", ")]), giving_rows, giving_bins, turn + 1
     if done is None:
         done = _pack_groups(pieces, 1, capacity, 0)
-    return done.drop("gives")
+    return done.drop("gives", "row")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from . import audio, line_dedup, mixing, ngram_join, packing, quality, sharding, token_counts, token_store, toxicity
-from .common import read_table, shared_dir
+from .common import materialize, read_table, shared_dir
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_cascade(read_table(spark, sf_dir, "documents")).select("doc_id", *quality.BASE, "base_failed", "kept", "failed_rule")
+    return quality.quality_cascade(read_table(spark, sf_dir, "documents")).select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,8 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.media_features(audio.texts_as_audio(read_table(spark, sf_dir, "documents")))
+    stored = materialize(audio.texts_as_audio(read_table(spark, sf_dir, "documents")), "media")
+    return audio.media_features(stored)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

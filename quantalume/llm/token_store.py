@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import encoder, vocabulary_path
+from .tokens import encoder, vocabulary_path, vocabulary_size
 
 BLOCKS = (
     "shard int, block int, base bigint, n_docs int, n_tokens bigint, doc_ids array<bigint>, width int, ids binary, "
@@ -92,7 +92,10 @@ class EliasFano:
 def _block(shard: int, block: int, base: int, doc_ids: list, chunks: list[bytes], width: int) -> dict:
     ends = np.cumsum([len(c) // 4 for c in chunks])
     ef = EliasFano.of(ends)
-    ids = np.frombuffer(b"".join(chunks), "<u4").astype(f"<u{width}").tobytes()
+    ids = np.frombuffer(b"".join(chunks), "<u4")
+    if len(ids) and int(ids.max()) >> 8 * width:
+        raise ValueError(f"token id {ids.max()} does not fit in {width} bytes")
+    ids = ids.astype(f"<u{width}").tobytes()
     return {
         "shard": shard, "block": block, "base": base, "n_docs": len(chunks), "n_tokens": int(ends[-1]), "doc_ids": doc_ids,
         "width": width, "ids": ids, "low_bits": ef.low_bits, "low": ef.low, "high": ef.high, "samples": ef.samples,
@@ -100,15 +103,19 @@ def _block(shard: int, block: int, base: int, doc_ids: list, chunks: list[bytes]
 
 
 def write_token_store(
-    docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 2, width: int = 2, block_tokens: int = BLOCK_TOKENS
+    docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 2, width: int | None = None, block_tokens: int = BLOCK_TOKENS
 ) -> None:
     """Encode every whole text (null: empty), append ``end_id`` and write the store.
 
     Documents are range-partitioned by doc_id, so the shards ascend, and sorted
-    within them; null doc_ids come first, equal ones by text. Extra columns are
-    not read, an empty table gives a store without blocks.
+    within them; null doc_ids come first, equal ones by a hash of the text.
+    An id takes 2 bytes if all of the vocabulary's do, else 4; a smaller given
+    ``width`` raises. Extra columns are not read, an empty table gives a store
+    without blocks.
     """
     vocabulary = vocabulary or vocabulary_path()
+    if width is None:
+        width = 2 if max(vocabulary_size(vocabulary) - 1, end_id) < 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(vocabulary), np.uint32(end_id).tobytes()
@@ -128,7 +135,8 @@ def write_token_store(
         if chunks:
             yield pa.RecordBatch.from_pylist([_block(shard, block, base, doc_ids, chunks, width)], schema)
 
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash spreads rows of one doc_id, or of none, over ranges
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     rows.mapInArrow(run, BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
@@ -145,7 +153,8 @@ def read_token_store(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.to_pylist():
-                ends = EliasFano(b["n_docs"], b["low_bits"], b["low"], b["high"], b["samples"]).all()
+                ends = EliasFano(b["n_docs"], b["low_bits"], b["low"], b["high"], b["samples"])
+                ends = np.array([ends.select(i) for i in range(b["n_docs"])], np.int64)
                 starts = np.concatenate([[0], ends[:-1]])
                 ids = memoryview(np.frombuffer(b["ids"], f"<u{b['width']}").astype("<u4").tobytes())
                 crc = [zlib.crc32(ids[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist())]
@@ -155,3 +164,26 @@ def read_token_store(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     return blocks.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+
+
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id and ids (array<bigint>) of the asked documents; two selects a document find its ids.
+
+    Only blocks that hold one of them are decoded, and of those only the asked
+    stretches. Unknown doc_ids give no row, repeated ones a row each.
+    """
+    wanted = sorted(set(doc_ids))
+    blocks = spark.read.schema(BLOCKS).parquet(path).where(F.arrays_overlap("doc_ids", F.lit(wanted).cast("array<bigint>")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = set(wanted)
+        for batch in batches:
+            for b in batch.to_pylist():
+                ef = EliasFano(b["n_docs"], b["low_bits"], b["low"], b["high"], b["samples"])
+                ids, found = np.frombuffer(b["ids"], f"<u{b['width']}"), []
+                for i, doc_id in enumerate(b["doc_ids"]):
+                    if doc_id in asked:
+                        found.append((doc_id, ids[ef.select(i - 1) if i else 0 : ef.select(i)].tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return blocks.mapInArrow(run, "doc_id bigint, ids array<bigint>")

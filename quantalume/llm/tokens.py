@@ -134,3 +134,10 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def vocabulary_size(path: str) -> int:
+    """Ids that the vocabulary file has, added ones included."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)

@@ -48,24 +48,27 @@ def maximal_segments(scored: list[tuple[int, float]], neutral: float = NEUTRAL)
     ``scored`` holds (position, score > 0) of the scoring tokens in order; every
     other token scores ``neutral`` < 0. Each candidate keeps the running total
     before and after it; it merges back to the nearest one that starts lower.
+    Candidates that don't start lower than a later one are never looked at
+    again, so each is passed over once.
     """
-    found: list[list[float]] = []  # first, last, total before, total after
+    found: list[tuple[int, int, float, float]] = []  # first, last, total before, total after
+    open_: list[int] = []  # indices into found, totals before ascending
     total, last = 0.0, -1
     for at, score in scored:
         total += neutral * (at - last - 1)
-        cand = [at, at, total, total + score]
+        first, before = at, total
         total, last = total + score, at
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= cand[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= cand[3]:
-                # those between can't be reached by later ones once nothing lower stands before
-                found.append(cand)
+            while open_ and found[open_[-1]][2] >= before:
+                open_.pop()
+            if not open_ or found[open_[-1]][3] >= total:
+                open_.append(len(found))
+                found.append((first, at, before, total))
                 break
-            cand = [found[j][0], cand[1], found[j][2], cand[3]]
+            j = open_.pop()
+            first, _, before, _ = found[j]
             del found[j:]
-    return [(int(a), int(b), r - l) for a, b, l, r in found]
+    return [(a, b, r - l) for a, b, l, r in found]
 
 
 def _features(scored: list[tuple[int, float]], n_words: int, scale: float) -> list[float]:
@@ -238,7 +241,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD
             for t in batch.column(at):
                 t = t.as_py()
                 scores.append(m.score(t))
-                passages.append(len(m.passages(t)) if scores[-1] >= threshold else 0)
+                passages.append(len(m.passages(t)))
             flags = pa.array([int(s >= threshold) for s in scores], pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), flags, pa.array(passages, pa.int32())], [*names, "score", "predicted", "n_passages"])
 

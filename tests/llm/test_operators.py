@@ -354,8 +354,176 @@ def test_mixing(docs, empty, spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     counts = dict(mixing.temperature_mix(df, max_repeats=1.5, block_rows=30).groupBy("source").count().collect())
     assert counts["big"] == 300 and 148 <= counts["small"] <= 150
-    totals = mixing.token_shares(df)
+    totals = mixing.token_shares(mixing.keyed(df))
     a = mixing.find_exponent(totals, max_repeats=1.5)
     assert (0.25 / 0.75) ** (a - 1) == pytest.approx(1.5, abs=1e-4)
     cut = mixing.temperature_mix(df, max_repeats=None, target_entropy=0.69, budget_tokens=1000, block_rows=30)
     assert 900 <= cut.count() * 10 <= 1000
+
+
+def test_long_scans_are_linear_and_find_all_maximal_segments():
+    rng = random.Random(12)
+
+    def brute(v):
+        """Maximal segments by their definition: the best-scoring stretch (shortest, then first), then both sides of it."""
+        best = max(((sum(v[i:j]), i - j, -i) for i in range(len(v)) for j in range(i + 1, len(v) + 1)), default=(0, 0, 0))
+        if best[0] <= 1e-9:
+            return []
+        i = -best[2]
+        j = i - best[1]
+        return brute(v[:i]) + [(i, j - 1)] + [(a + j, b + j) for a, b in brute(v[j:])]
+
+    for _ in range(60):
+        score = {i: rng.choice([1.0, 2.25, 0.5]) for i in range(24) if rng.random() < 0.4}
+        v = [score.get(i, -0.71) for i in range(24)]
+        assert [(a, b) for a, b, _ in toxicity.maximal_segments(sorted(score.items()), -0.71)] == brute(v)
+    falling = [(3 * i, 0.1) for i in range(300_000)]
+    assert len(toxicity.maximal_segments(falling, -0.2)) == 300_000
+
+
+def test_token_store_widths_and_documents(docs, spark, tmp_path, library):
+    with pytest.raises(ValueError, match="70000"):
+        token_store._block(0, 0, 0, [1], [np.array([70000, 2], "<u4").tobytes()], 2)
+    path = "file://" + str(tmp_path / "store")
+    token_store.write_token_store(docs, path, block_tokens=300)
+    by_id = {i: t for i, t in texts() if i in (1, 5, 8)}
+    got = {r["doc_id"]: r["ids"] for r in token_store.read_documents(spark, path, [8, 1, 5, 12345]).collect()}
+    assert got == {i: library.encode(t or "", add_special_tokens=False).ids + [2] for i, t in by_id.items()}
+
+
+def test_sharding_against_the_texts_and_repeated_rows(docs, spark):
+    rows = sharding.uniform_shards(docs, shards=3, bucket_rows=4).toPandas()
+    expected = sorted((i if i is not None else -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in texts())
+    assert sorted(zip(rows.doc_id.fillna(-1).astype(int), rows["size"], rows.text_crc32)) == expected
+    same = spark.range(4000).selectExpr("7L as doc_id", "'same' as text")
+    spread = sharding.uniform_shards(same, shards=4, bucket_rows=100).toPandas()
+    assert spread.groupby("shard").size().tolist() == [1000] * 4 and all(sorted(g) == list(range(1000)) for _, g in spread.groupby("shard")["slot"])
+
+
+def test_hypergeometric_draws_beyond_numpy():
+    rng = np.random.default_rng(3)
+    good, bad, take = 300, 700, 50
+    own = np.array([sharding._by_inversion(u, good, bad, take) for u in rng.random(20_000)])
+    law = rng.hypergeometric(good, bad, take, 20_000)
+    assert abs(own.mean() - 15) < 0.1 and abs(own.var() - law.var()) < 0.4
+    cells = [(np.bincount(x, minlength=51)[8:23]) for x in (own, law)]
+    assert np.abs(cells[0] - cells[1]).max() < 250
+    m = sharding.communication_matrix([5 * 10**9, 7 * 10**9], [4 * 10**9] * 3, 1)
+    assert m.sum(1).tolist() == [5 * 10**9, 7 * 10**9] and m.sum(0).tolist() == [4 * 10**9] * 3
+    assert np.abs(m[0] - 5 * 10**9 / 3).max() < 10 * np.sqrt(10**9)
+
+
+def test_sharding_matrix_of_groups_adds_up(spark):
+    counts = spark.createDataFrame([(b, 3 + b % 5) for b in range(700)], "bucket int, n long")
+    n = sum(3 + b % 5 for b in range(700))
+    got = {r["bucket"]: r["cuts"] for r in sharding.cuts_of_buckets(counts, sharding.shard_sizes(n, 6), 5).collect()}
+    cells = np.diff(np.array([[0, *got[b]] for b in range(700)]), axis=1)
+    assert cells.min() >= 0 and cells.sum(1).tolist() == [3 + b % 5 for b in range(700)] and cells.sum(0).tolist() == sharding.shard_sizes(n, 6)
+
+
+def test_packing_exchanges_until_it_stops_paying(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, long_text(i, rng.randrange(20, 330))) for i in range(300)], "doc_id long, text string")
+    one = packing.best_fit_pack(df, capacity=512).toPandas()
+    many = packing.best_fit_pack(df, capacity=512, partition_rows=20).toPandas()
+    s = many.sort_values(["sequence_id", "offset"])
+    assert (s.groupby("sequence_id")["length"].cumsum() - s["length"] == s["offset"]).all() and s.groupby("sequence_id")["length"].sum().max() <= 512
+    pieces = packing.pieces_of(df, tokens.vocabulary_path(), 512, 2).withColumn("row", F.monotonically_increasing_id())
+    alone = packing._pack_groups(pieces, -(-len(one) // 20), 512, 0).select("sequence_id").distinct().count()
+    assert len(many) == len(one) and one["sequence_id"].nunique() <= many["sequence_id"].nunique() < alone
+    same = spark.range(500).selectExpr("1L as doc_id", "'x y' as text")
+    assert packing.best_fit_pack(same, partition_rows=50).select("sequence_id").distinct().count() <= 10
+
+
+def test_mixing_against_brute_force(spark):
+    """Passes, budgets and shares of every source, from its words."""
+    rng = random.Random(10)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 12)), rng.choice("aaaaaabbc")) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.temperature_mix(df, max_repeats=2.0, block_rows=40).collect()
+    words = {i: len(t.split()) + 1 for i, t, _ in rows}
+    tokens_ = {s: sum(words[i] for i, _, x in rows if x == s) for s in "abc"}
+    whole, a = sum(tokens_.values()), mixing.find_exponent(mixing.token_shares(mixing.keyed(df)), max_repeats=2.0)
+    p = {s: n / whole for s, n in tokens_.items()}
+    budget = whole * sum(x**a for x in p.values()) * max(x ** (1 - a) for x in p.values())
+    for s in "abc":
+        due = p[s] ** a / sum(x**a for x in p.values()) * budget
+        got = sum(words[r["doc_id"]] for r in out if r["source"] == s)
+        assert due - 12 * 2 <= got <= due + 1, s
+        for e in range(int(round(due) // tokens_[s])):
+            assert {r["doc_id"] for r in out if r["source"] == s and r["epoch"] == e} == {i for i, _, x in rows if x == s}
+
+
+def test_audio_against_brute_force(docs, spark):
+    import hashlib
+
+    def decode(block):
+        """IMA ADPCM, sample by sample."""
+        value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+        out = [value]
+        for byte in block[4:]:
+            for nibble in (byte & 15, byte >> 4):
+                step = int(audio.STEPS[index])
+                diff = (step >> 3) + (step if nibble & 4 else 0) + (step >> 1 if nibble & 2 else 0) + (step >> 2 if nibble & 1 else 0)
+                value = max(-32768, min(32767, value - diff if nibble & 8 else value + diff))
+                index = max(0, min(88, index + int(audio.INDEX_CHANGE[nibble])))
+                out.append(value)
+        return out
+
+    got = {(r["doc_id"], r["n_bytes"]): r for r in audio.media_features(audio.texts_as_audio(docs)).collect()}
+    for i, t in texts():
+        raw = (t or "").encode()
+        data = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        r, media = got[i, len(raw)], audio.wave(data)
+        assert r["payload_sha256"] == hashlib.sha256(data).hexdigest() and r["tail_crc32"] == zlib.crc32(data[-64:]) and r["payload_bytes"] == len(data)
+        assert r["media_sha256"] == hashlib.sha256(media).hexdigest() and r["media_bytes"] == len(media)
+        pcm = [x for k in range(0, len(data), 64) for x in decode(data[k : k + 64])]
+        parts = []
+        for table in (audio.mulaw_table(), audio.alaw_table()):
+            x = [int(table[b]) for b in data]
+            parts += [max(map(abs, x)), sum(v * v for v in x) // len(x)]
+        parts += [max(map(abs, pcm)), sum(v * v for v in pcm) // len(pcm)]
+        assert r["feature"].split()[1:3] + r["feature"].split()[4:6] + r["feature"].split()[7:9] == [str(v) for v in parts]
+    odd = spark.createDataFrame([(1, 3, None), (2, 3, bytearray(audio.wave(b"abc"))), (3, 0, bytearray(audio.wave(b"")))], "doc_id long, n_bytes long, media binary")
+    rows = {r["doc_id"]: r for r in audio.media_features(odd).collect()}
+    assert rows[1]["feature"] is None and rows[2]["payload_bytes"] == 3 and rows[3]["feature"].startswith("mulaw 0 0 alaw 0 0 adpcm 0 0")
+
+
+def test_decode_media_stores_resampled_pcm(spark, tmp_path):
+    t = (8000 * np.sin(np.arange(500) / 9)).astype(np.int16)
+    media = [audio.wave(bytes(range(256))), audio.wave(bytes(range(256)), audio.ALAW), audio.wave(audio.encode_adpcm(t).tobytes(), audio.IMA_ADPCM, block=64), audio.wave(b""), None]
+    df = spark.createDataFrame([(i, None if m is None else bytearray(m), "x") for i, m in enumerate(media)], "id int, media binary, rate string")
+    audio.decode_media(df).write.parquet(str(tmp_path / "pcm"))
+    got = {r["id"]: r for r in spark.read.parquet(str(tmp_path / "pcm")).collect()}
+    for i, m in enumerate(media[:4]):
+        pcm = np.frombuffer(got[i]["pcm"], "<i2")
+        assert got[i]["rate"] == 16000 and (pcm[0::2] == audio.decode_wave(m)[1]).all() and len(pcm) == 2 * len(audio.decode_wave(m)[1])
+    assert got[4]["pcm"] is None and got[4]["rate"] is None
+
+
+def test_line_dedup_extends_over_parts_of_several_sources(spark):
+    """Every four lines stood earlier in another document, the whole run in one of them only."""
+    run = [f"line {k} " + long_text(k, 3) for k in range(20)]
+    rows = [(k + 1, "\n".join([f"own {k}", *run[k : k + 4], "end"])) for k in range(17)]
+    rows += [(100, "\n".join(["a", *run, "b"])), (101, "\n".join(["c", *run, "d"]))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.winnow_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_dedup(rows) and got[101] == "c\nd" and got[100] == rows[-2][1]
+
+
+def test_line_dedup_of_long_texts_and_repeated_rows(spark):
+    rows = [(1, "w " * 3000 + "\n" + "x" * 1_000_000), (2, "y\n" * 20_000), (3, "w " * 3000 + "\n" + "x" * 1_000_000), (3, "w " * 3000 + "\n" + "x" * 1_000_000)]
+    got = [(r["doc_id"], len(r["text"]), r["n_lines"], r["n_deleted"]) for r in line_dedup.winnow_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    # the second text repeats its own lines: each window but the first stood a line earlier
+    assert sorted(got) == [(1, 1_006_001, 2, 0), (2, 2, 20_001, 19_999), (3, 0, 2, 2), (3, 0, 2, 2)]
+
+
+def test_quality_order_follows_rejections_per_cost():
+    order = quality.cascade_order([(["a", "b"], 10), (["b"], 1), (["c"], 3), ([], 90)], {"a": 1.0, "b": 2.0, "c": 1.0})
+    assert order == ["a", "c", "b"]
+
+
+def test_quality_verdict_does_not_depend_on_order(docs):
+    rows = quality.quality_cascade(docs)
+    found = quality.rules()
+    again = rows.select("kept", "base_failed", *[F.coalesce(r, F.lit(False)).alias(n) for n, r in found.items()]).collect()
+    assert all(r["kept"] == (not r["base_failed"] and not any(r[n] for n in found)) for r in again)
