@@ -40,8 +40,41 @@ def _column(x) -> Column:
     return (F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)).cast("double")
 
 
+def _dnorm(x: Column, m: Column, s: Column) -> Column:
+    return F.exp(-0.5 * F.pow((x - m) / s, F.lit(2.0))) / (s * 2.5066282746310002)
+
+
+def _at_zero(x: Column, shape: Column, at_one: Column, rest: Column) -> Column:
+    at0 = F.when(shape < 1, F.lit(float("inf"))).when(shape == 1, at_one).otherwise(0.0)
+    return F.when(x < 0, 0.0).when(x == 0, at0).otherwise(rest)
+
+
+def _closed(p: Column, value: Column) -> Column:
+    """A quantile of the half line."""
+    return F.when(p == 1, F.lit(float("inf"))).when((p >= 0) & (p < 1), value)
+
+
+#: Closed forms as built-in expressions; all parameters but the first (and a mean) must be positive.
+BUILT_IN = {
+    "dnorm": lambda x, m, s: F.when(s > 0, _dnorm(x, m, s)),
+    "dlnorm": lambda x, m, s: F.when(s > 0, F.when(x <= 0, 0.0).otherwise(_dnorm(F.log(x), m, s) / x)),
+    "dexp": lambda x, r: F.when(r > 0, F.when(x < 0, 0.0).otherwise(r * F.exp(-r * x))),
+    "pexp": lambda x, r: F.when(r > 0, F.when(x <= 0, 0.0).otherwise(-F.expm1(-r * x))),
+    "qexp": lambda p, r: F.when(r > 0, _closed(p, -F.log1p(-p) / r)),
+    "dweibull": lambda x, k, s: F.when((k > 0) & (s > 0), _at_zero(x, k, 1 / s, k / s * F.pow(x / s, k - 1) * F.exp(-F.pow(x / s, k)))),
+    "pweibull": lambda x, k, s: F.when((k > 0) & (s > 0), F.when(x <= 0, 0.0).otherwise(-F.expm1(-F.pow(x / s, k)))),
+    "qweibull": lambda p, k, s: F.when((k > 0) & (s > 0), _closed(p, s * F.pow(-F.log1p(-p), 1 / k))),
+}
+
+
 def d(name: str, *args) -> Column:
-    """A distribution function as a column, e.g. d('pnorm', 'x', 0.0, 2.0)."""
+    """A distribution function as a column, e.g. d('pnorm', 'x', 0.0, 2.0); closed forms stay in the JVM."""
+    if name in BUILT_IN:
+        columns = [_column(x) for x in with_defaults(name, args)]
+        known = ~F.isnan(columns[0])
+        for c in columns[1:]:
+            known = known & ~F.isnan(c)
+        return F.when(known, BUILT_IN[name](*columns))
     return _typed(name)(*map(_column, with_defaults(name, args)))
 
 

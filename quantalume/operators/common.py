@@ -7,9 +7,11 @@ aggregates; a finalizer sees one row per group and returns a struct or NULL.
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.distributions import evaluate
@@ -41,12 +43,26 @@ def cdf(name: str, *args: float) -> float:
 
 
 def p_value(name: str, stat: float, alternative: str, *params: float) -> float:
+    """p of a statistic with a symmetric law, from the nearer tail, so small ones keep their digits."""
     if math.isnan(stat):
         return math.nan
     if alternative == "two-sided":
-        return 2 * (1 - cdf(name, abs(stat), *params))
-    below = cdf(name, stat, *params)
-    return below if alternative == "less" else 1 - below
+        return 2 * cdf(name, -abs(stat), *params)
+    return cdf(name, stat if alternative == "less" else -stat, *params)
+
+
+def upper_tail(name: str, stat: float, *params: float) -> float:
+    """1 - F(stat) of chi-square ('chisq') and F ('f') without cancellation."""
+    from ..functions import special
+
+    if math.isnan(stat):
+        return math.nan
+    if stat <= 0:
+        return 1.0
+    if name == "chisq":
+        return float(special.gamma_q(params[0] / 2, stat / 2))
+    d1, d2 = params
+    return 0.0 if math.isinf(stat) else float(special.beta_i(d2 / (d1 * stat + d2), d2 / 2, d1 / 2))
 
 
 def divide(a: float, b: float) -> float:
@@ -72,3 +88,28 @@ def finalize(grouped: DataFrame, by: Sequence[str], names: list[str], finish: Ca
 def flat(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The fields of ``result`` as columns."""
     return df.select(*by, "result.*")
+
+
+#: Rows of fixed size that one task sorts, or that are broadcast, after a count.
+SMALL_ROWS = 1_000_000
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="quantalume-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: it is computed once, and a lost executor costs a re-read."""
+    path = f"{shared_dir(df.sparkSession)}/quantalume/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be broadcast if its counted rows are few."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else df

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import aggregate, clean, finalize
+from .common import clean, finalize, small, written
 from .ranks import kendall_test, prefix_sums, spearman_test
 
 SUMMARY = (
@@ -21,23 +21,41 @@ SUMMARY = (
 )
 
 
-def _quantiles(x: Column, by: Sequence[str], df: DataFrame, kind: int) -> DataFrame | None:
-    """Type 5 quartiles from the value-frequency table; type 7 is built in."""
-    if kind == 7:
-        return None
-    table = df.select(*by, x.alias("value")).where("value is not null").groupBy(*by, "value").agg(F.count(F.lit(1)).alias("t"))
-    n = table.groupBy(*by).agg(F.sum("t").alias("_n"))
-    ranked = prefix_sums(table, by, "value", ["t"])
-    ranked = ranked.join(n, list(by)) if by else ranked.join(F.broadcast(n))  # one row without by
+def _counts(x: Column, by: Sequence[str], df: DataFrame) -> DataFrame:
+    """value and t, how often it occurs: written once, for quantiles and modes."""
+    rows = df.select(*by, x.alias("value")).where("value is not null")
+    return written(rows.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("t")), "counts")
+
+
+def quantiles(counts: DataFrame, by: Sequence[str], kind: int = 7, probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """``_q``: exact quantiles of type 5 or 7 of each group from its counted values.
+
+    Prefix sums find the values at the places asked for, so no task holds a
+    group's values.
+    """
+    rows = counts.count()
+    n = counts.groupBy(*by).agg(F.sum("t").alias("_n"))
+    ranked = prefix_sums(counts, by, "value", ["t"], rows)
+    ranked = _joined(ranked, small(n, rows) if by else n, by, "inner")
     stats = []
-    for q in (0.25, 0.5, 0.75):
-        pos = F.greatest(F.lit(1.0), F.least(F.col("_n").cast("double"), F.col("_n") * q + 0.5))
+    for q in probs:
+        n = F.col("_n").cast("double")
+        pos = F.greatest(F.lit(1.0), F.least(n, n * q + 0.5)) if kind == 5 else 1 + (n - 1) * q
         at = lambda p: F.max(F.when((F.col("before_t") < p) & (F.col("before_t") + F.col("t") >= p), F.col("value")))
         low, high, part = at(F.floor(pos)), at(F.ceil(pos)), F.max(pos - F.floor(pos))
         stats.append(low + (high - low) * part)
     return ranked.groupBy(*by).agg(F.array(*stats).alias("_q"))
 
 
+def _joined(a: DataFrame, b: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on the group, whose columns may be null; without one ``b`` has one row."""
+    if not by:
+        return a.join(F.broadcast(b), F.lit(True), how)
+    rest = [c for c in b.columns if c not in by]
+    keys = [F.col(f"a_.`{k}`").eqNullSafe(F.col(f"b_.`{k}`")) for k in by]
+    return a.alias("a_").join(b.alias("b_"), keys, how).select(*[F.col(f"a_.`{c}`") for c in a.columns], *[F.col(f"b_.`{c}`") for c in rest])
+
+
 def summary_stats(df: DataFrame, x, bias_correction: bool = True, quantile_type: int = 7, by: Sequence[str] = ()) -> DataFrame:
     """Moments, quartiles and mode of each group; NULL without values. NULL and NaN count as missing."""
     if quantile_type not in (5, 7):
@@ -45,17 +63,14 @@ def summary_stats(df: DataFrame, x, bias_correction: bool = True, quantile_type:
     x = clean(x)
     stats = {
         "n": F.count(x), "all": F.count(F.lit(1)), "mean": F.avg(x), "v": F.var_samp(x), "min": F.min(x), "max": F.max(x),
-        "q": F.percentile(x, [0.25, 0.5, 0.75]), "g1": F.skewness(x), "g2": F.kurtosis(x),
+        "g1": F.skewness(x), "g2": F.kurtosis(x),
     }
-    base = df.groupBy(*by).agg(*[c.alias(f"_{k}") for k, c in stats.items() if k != "q" or quantile_type == 7])
-    counts = df.select(*by, x.alias("value")).where("value is not null").groupBy(*by, "value").agg(F.count(F.lit(1)).alias("c"))
-    top = counts.groupBy(*by).agg(F.max(F.struct("c", (-F.col("value")).alias("v"))).alias("_top"))
-    most = counts.join(top, list(by)) if by else counts.join(F.broadcast(top))  # one row without by
-    many = most.groupBy(*by).agg(F.first("_top").alias("_top"), F.count_if(F.col("c") == F.col("_top.c")).alias("_modes"))
-    join = (lambda a, b: a.join(b, list(by), "left")) if by else (lambda a, b: a.join(F.broadcast(b), F.lit(True), "left"))
-    base = join(base, many)
-    if (other := _quantiles(x, by, df, quantile_type)) is not None:
-        base = join(base, other)
+    base = df.groupBy(*by).agg(*[c.alias(f"_{k}") for k, c in stats.items()])
+    counts = _counts(x, by, df)
+    top = counts.groupBy(*by).agg(F.max(F.struct(F.col("t").alias("c"), (-F.col("value")).alias("v"))).alias("_top"))
+    most = _joined(counts, top, by, "inner")
+    many = most.groupBy(*by).agg(F.first("_top").alias("_top"), F.count_if(F.col("t") == F.col("_top.c")).alias("_modes"))
+    base = _joined(_joined(base, many, by), quantiles(counts, by, quantile_type), by)
 
     def finish(s):
         n = s["n"]
@@ -76,7 +91,7 @@ def summary_stats(df: DataFrame, x, bias_correction: bool = True, quantile_type:
             "is_multimodal": not distinct and s["modes"] > 1,
         }
 
-    return finalize(base, by, [*stats, "top", "modes"], finish, SUMMARY)
+    return finalize(base, by, [*stats, "q", "top", "modes"], finish, SUMMARY)
 
 
 BIN_METHODS = ("sturges", "fd", "scott", "sqrt", "rice", "auto")
@@ -88,7 +103,12 @@ def bin_edges(df: DataFrame, x, method: str = "sturges", by: Sequence[str] = ())
     if method not in BIN_METHODS:
         raise ValueError(f"bin_edges: unknown method '{method}'")
     x = clean(x)
-    stats = {"n": F.count(x), "low": F.min(x), "high": F.max(x), "sd": F.stddev_samp(x), "q": F.percentile(x, [0.25, 0.75])}
+    stats = {"n": F.count(x), "low": F.min(x), "high": F.max(x), "sd": F.stddev_samp(x)}
+    base = df.groupBy(*by).agg(*[c.alias(f"_{k}") for k, c in stats.items()])
+    if method in ("fd", "auto"):
+        base = _joined(base, quantiles(_counts(x, by, df), by, 7, (0.25, 0.75)), by)
+    else:
+        base = base.withColumn("_q", F.lit(None).cast("array<double>"))
 
     def finish(s):
         n, low, high = s["n"], s["low"], s["high"]
@@ -98,7 +118,7 @@ def bin_edges(df: DataFrame, x, method: str = "sturges", by: Sequence[str] = ())
             return {"edges": [low, low]}
         sturges = math.ceil(math.log2(n) + 1)
         wide = lambda w: math.ceil((high - low) / w) if w > 0 else sturges
-        fd = wide(2 * (s["q"][1] - s["q"][0]) * n ** (-1 / 3))
+        fd = wide(2 * (s["q"][1] - s["q"][0]) * n ** (-1 / 3)) if s["q"] else sturges
         k = {
             "sturges": sturges, "fd": fd, "scott": wide(3.5 * s["sd"] * n ** (-1 / 3)), "sqrt": math.ceil(math.sqrt(n)),
             "rice": math.ceil(2 * n ** (1 / 3)), "auto": max(sturges, fd),
@@ -106,7 +126,7 @@ def bin_edges(df: DataFrame, x, method: str = "sturges", by: Sequence[str] = ())
         k = max(1, k)
         return {"edges": [low + (high - low) * i / k for i in range(k)] + [high]}
 
-    out = aggregate(df, by, stats, finish, "edges array<double>")
+    out = finalize(base, by, [*stats, "q"], finish, "edges array<double>")
     return out.select(*by, F.col("result.edges").alias("edges"))
 
 
@@ -176,30 +196,46 @@ META = (
 
 
 def meta(df: DataFrame) -> DataFrame:
-    """A row for each column: one wide aggregation for all, one union of counts for the modes."""
+    """A row for each column: one wide aggregation of moments, and one count of every column's values.
+
+    The counts give distinct values, quantiles and modes, so no task holds a
+    column's values.
+    """
     fields = df.schema.fields
-    entries, aggs = [], [F.count(F.lit(1)).alias("n")]
+    entries, aggs, cells = [], [F.count(F.lit(1)).alias("n")], []
     for i, f in enumerate(fields):
         c, kind = F.col(f"`{f.name}`"), kind_of(f.dataType)
-        missing = c.isNull() | F.isnan(c) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else c.isNull()
-        present = F.when(~missing, c if not isinstance(f.dataType, T.MapType) else F.map_entries(c))
-        aggs += [F.count_if(missing).alias(f"m{i}"), F.count_distinct(present).alias(f"d{i}")]
+        floating = isinstance(f.dataType, (T.FloatType, T.DoubleType))
+        missing = c.isNull() | F.isnan(c) if floating else c.isNull()
+        present = F.when(~missing, c + F.lit(0.0).cast(f.dataType) if floating else c)  # no negative zero
+        aggs.append(F.count_if(missing).alias(f"m{i}"))
         null = F.lit(None).cast("double")
-        numbers = [null] * 7
+        numbers, x = [null] * 4, null
         if kind == "numeric":
             x = present.cast("double")
-            aggs += [F.min(x).alias(f"a{i}"), F.percentile(x, [0.25, 0.5, 0.75]).alias(f"q{i}"), F.max(x).alias(f"b{i}"), F.avg(x).alias(f"e{i}"), F.stddev_samp(x).alias(f"s{i}")]
-            numbers = [F.col(f"a{i}"), *[F.col(f"q{i}")[k] for k in range(3)], F.col(f"b{i}"), F.col(f"e{i}"), F.col(f"s{i}")]
+            aggs += [F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"), F.avg(x).alias(f"e{i}"), F.stddev_samp(x).alias(f"s{i}")]
+            numbers = [F.col(f"{k}{i}") for k in "abes"]
+        text = F.hex(present) if isinstance(f.dataType, T.BinaryType) else present.cast("string")
+        cells.append(F.struct(F.lit(i).alias("i"), text.alias("v"), x.alias("value")))
         name = _NAMES.get(f.dataType.typeName(), f.dataType.simpleString().upper())
-        entries.append(F.struct(F.lit(i).alias("i"), F.lit(f.name).alias("column_name"), F.lit(name).alias("column_type"), F.lit(kind).alias("kind"), F.col("n").alias("n_rows"), F.col(f"m{i}").alias("n_missing"), F.col(f"d{i}").alias("n_distinct"), *[v.alias(k) for v, k in zip(numbers, ("min", "p25", "median", "p75", "max", "mean", "stddev"))]))
+        entries.append(F.struct(F.lit(i).alias("i"), F.lit(f.name).alias("column_name"), F.lit(name).alias("column_type"), F.lit(kind).alias("kind"), F.col("n").alias("n_rows"), F.col(f"m{i}").alias("n_missing"), *[v.alias(k) for v, k in zip(numbers, ("min", "max", "mean", "stddev"))]))
     wide = df.agg(*aggs).select(F.inline(F.array(*entries)))
-    texts = [F.struct(F.lit(i).alias("i"), F.col(f"`{f.name}`").cast("string").alias("v")) for i, f in enumerate(fields) if kind_of(f.dataType) in ("categorical", "boolean")]
-    if not texts:
-        return wide.select("*", F.lit(None).cast("string").alias("top"), F.lit(None).cast("bigint").alias("top_freq")).orderBy("i").drop("i")
-    counts = df.select(F.inline(F.array(*texts))).where("v is not null").groupBy("i", "v").count()
-    ranked = counts.groupBy("i").agg(F.min(F.struct((-F.col("count")).alias("c"), "v")).alias("t"))
-    tops = ranked.select("i", F.col("t.v").alias("top"), (-F.col("t.c")).alias("top_freq"))
-    return wide.join(F.broadcast(tops), "i", "left").orderBy("i").drop("i")  # a row for each column
+    counts = df.select(F.inline(F.array(*cells))).where("v is not null").groupBy("i", "v", "value").agg(F.count(F.lit(1)).alias("t"))
+    counts = written(counts, "values")
+    texts = F.lit(False)
+    for i, f in enumerate(fields):
+        if kind_of(f.dataType) in ("categorical", "boolean"):
+            texts = texts | (F.col("i") == i)
+    top = F.min(F.when(texts, F.struct((-F.col("t")).alias("c"), "v")))
+    found = counts.groupBy("i").agg(F.count(F.lit(1)).alias("n_distinct"), top.alias("top_"))
+    numeric = counts.where("value is not null").groupBy("i", "value").agg(F.sum("t").alias("t"))
+    found = found.join(quantiles(written(numeric, "counts"), ["i"]), "i", "left")
+    out = wide.join(F.broadcast(found), "i", "left").orderBy("i")  # a row for each column
+    return out.select(
+        "column_name", "column_type", "kind", "n_rows", "n_missing", F.coalesce("n_distinct", F.lit(0)).cast("bigint").alias("n_distinct"), "min",
+        *[F.col("_q")[k].alias(name) for k, name in enumerate(("p25", "median", "p75"))], "max", "mean", "stddev",
+        F.col("top_.v").alias("top"), (-F.col("top_.c")).alias("top_freq"),
+    )
 
 
 CORR = "row_var string, col_var string, coef double, p_value double, n bigint"

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import aggregate, cdf, check_alpha, check_alternative, clean, divide, finalize, num, p_value
+from .common import aggregate, cdf, check_alpha, check_alternative, clean, divide, finalize, num, p_value, upper_tail
 
 TTEST = (
     "test_type string, t_statistic double, df double, p_value double, alternative string, mean_diff double, "
@@ -146,7 +146,7 @@ def jarque_bera(df: DataFrame, x, by: Sequence[str] = ()) -> DataFrame:
         if s["n"] < 4 or not s["v"]:
             return None
         jb = s["n"] / 6 * (s["g1"] ** 2 + s["g2"] ** 2 / 4)
-        return {"test_type": "Jarque-Bera", "jb_statistic": jb, "skewness": s["g1"], "excess_kurtosis": s["g2"], "df": 2.0, "p_value": 1 - cdf("pchisq", jb, 2.0), "n": s["n"]}
+        return {"test_type": "Jarque-Bera", "jb_statistic": jb, "skewness": s["g1"], "excess_kurtosis": s["g2"], "df": 2.0, "p_value": upper_tail("chisq", jb, 2.0), "n": s["n"]}
 
     return aggregate(df, by, {"n": F.count(x), "v": F.var_samp(x), "g1": F.skewness(x), "g2": F.kurtosis(x)}, finish, JB)
 
@@ -182,7 +182,7 @@ def anova_oneway(df: DataFrame, value, group, by: Sequence[str] = ()) -> DataFra
         msw = ssw / (n - k)
         if msw > 0:
             f = ssb / (k - 1) / msw
-            p = 1 - cdf("pf", f, k - 1.0, float(n - k))
+            p = upper_tail("f", f, k - 1.0, float(n - k))
         else:
             f, p = (math.inf, 0.0) if ssb > 0 else (0.0, 1.0)
         return {
@@ -221,7 +221,7 @@ def chisq_independence(df: DataFrame, row, col, continuity: bool = False, by: Se
             o, rt, ct = s["det"]["o"], s["det"]["rt"], s["det"]["ct"]
             gap = max(0.0, abs(o - rt * ct / n) - 0.5)
             chi = gap * gap * sum(n / (a * b) for a in (rt, n - rt) for b in (ct, n - ct))
-        return {"test_type": "Chi-square Independence", "chi_square": chi, "df": dof, "p_value": 1 - cdf("pchisq", chi, dof), "n": int(n), "n_rows": s["r"], "n_cols": s["c"]}
+        return {"test_type": "Chi-square Independence", "chi_square": chi, "df": dof, "p_value": upper_tail("chisq", chi, dof), "n": int(n), "n_rows": s["r"], "n_cols": s["c"]}
 
     return aggregate(table, by, stats, finish, CHISQ)
 
@@ -239,6 +239,6 @@ def chisq_goodness_of_fit(df: DataFrame, category, by: Sequence[str] = ()) -> Da
         if k < 2:
             return None
         chi = max(0.0, s["q"] * k / n - n)
-        return {"test_type": "Chi-square Goodness-of-Fit (uniform)", "chi_square": chi, "df": k - 1.0, "p_value": 1 - cdf("pchisq", chi, k - 1.0), "n": int(n), "n_categories": k}
+        return {"test_type": "Chi-square Goodness-of-Fit (uniform)", "chi_square": chi, "df": k - 1.0, "p_value": upper_tail("chisq", chi, k - 1.0), "n": int(n), "n_categories": k}
 
     return aggregate(cells, by, {"k": F.count(F.lit(1)), "n": F.sum("o"), "q": F.sum(F.col("o") * F.col("o"))}, finish, GOF)

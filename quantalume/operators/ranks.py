@@ -16,22 +16,32 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import aggregate, cdf, check_alpha, check_alternative, clean, finalize, num, p_value
+from .common import SMALL_ROWS, aggregate, check_alpha, check_alternative, clean, finalize, num, p_value, small, written
 from .hypothesis import correlation_result
 
-#: Ranges that a group's values are cut into for prefix sums.
-RANGES = 64
+#: Distinct values that a range of the two-level prefix sums holds, about.
+RANGE_ROWS = 250_000
 
 
-def prefix_sums(table: DataFrame, by: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
+def prefix_sums(table: DataFrame, by: Sequence[str], value: str, sums: Sequence[str], rows: int | None = None) -> DataFrame:
     """Add ``before_<s>``: the sum of each column ``s`` over smaller values of the same group.
 
-    Ranges come from approximate percentiles of each group; rows are windowed
-    within (group, range), and the small table of range totals is windowed within the group.
+    ``table`` is written once and counted (unless ``rows`` says that it is). A
+    table of at most SMALL_ROWS rows is windowed by group. A larger one is cut
+    into ranges of its groups by approximate percentiles, as many as its size
+    takes; rows are windowed within (group, range), and the small table of range
+    totals within the group.
     """
-    cuts = [i / RANGES for i in range(1, RANGES)]
+    if rows is None:
+        table = written(table, "counts")
+        rows = table.count()
+    if rows <= SMALL_ROWS:
+        over = Window.partitionBy(*by or [F.lit(0)]).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return table.withColumns({f"before_{s}": F.coalesce(F.sum(s).over(over), F.lit(0)) for s in sums})
+    ranges = -(-rows // RANGE_ROWS)
+    cuts = [i / ranges for i in range(1, ranges)]
     finite = F.when(~F.isnan(value), F.col(value))
-    bounds = table.groupBy(*by).agg(F.percentile_approx(finite, cuts, 2000).alias("_cuts"))
+    bounds = table.groupBy(*by).agg(F.percentile_approx(finite, cuts, max(2000, 20 * ranges)).alias("_cuts"))
     keyed = table.join(bounds, list(by)) if by else table.join(F.broadcast(bounds))  # one row without by
     keyed = keyed.withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))).drop("_cuts")
     ranges = keyed.groupBy(*by, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
@@ -111,11 +121,15 @@ def spearman_test(df: DataFrame, x, y, alpha: float = 0.05, alternative: str = "
     """Spearman correlation: midranks of each column, then Pearson."""
     check_alpha(alpha), check_alternative(alternative)
     pairs = df.select(*by, clean(x).alias("_x"), clean(y).alias("_y")).where("_x is not null and _y is not null")
-    pairs = pairs.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("w"))
+    pairs = written(pairs.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("w")), "pairs")
     for c in ("_x", "_y"):
-        table = pairs.groupBy(*by, c).agg(F.sum("w").alias("t"))
-        ranked = prefix_sums(table, by, c, ["t"]).select(*by, c, (F.col("before_t") + (F.col("t") + 1) / 2).alias(f"r{c}"))
-        pairs = pairs.join(ranked, [*by, c])
+        table = written(pairs.groupBy(*by, c).agg(F.sum("w").alias("t")), "counts")
+        rows = table.count()
+        ranked = prefix_sums(table, by, c, ["t"], rows).select(*by, c, (F.col("before_t") + (F.col("t") + 1) / 2).alias(f"r{c}"))
+        # keys may be null; a value that many pairs share needs no shuffle while the ranks are few
+        keys = [F.col(f"p.`{k}`").eqNullSafe(F.col(f"q.`{k}`")) for k in [*by, c]]
+        kept = [F.col(f"p.`{k}`") for k in pairs.columns]
+        pairs = pairs.alias("p").join(small(ranked, rows).alias("q"), keys).select(*kept, F.col(f"q.r{c}"))
     w, a, b = (F.col(k).cast("double") for k in ("w", "r_x", "r_y"))
     # central sums: the mean rank is (n + 1) / 2 in both columns
     stats = {"n": F.sum("w"), "ab": F.sum(w * a * b), "aa": F.sum(w * a * a), "bb": F.sum(w * b * b)}
@@ -216,9 +230,9 @@ def kolmogorov_p(d: float, n: float) -> float:
 
 def ks_test_2samp(df: DataFrame, x, y, by: Sequence[str] = ()) -> DataFrame:
     """Largest gap of two empirical distribution functions."""
-    table = two_samples(df, clean(x), clean(y), by)
+    table = written(two_samples(df, clean(x), clean(y), by), "counts")
     sizes = table.groupBy(*by).agg(F.sum("a").alias("_nx"), F.sum("b").alias("_ny"))
-    ranked = prefix_sums(table, by, "value", ["a", "b"])
+    ranked = prefix_sums(table, by, "value", ["a", "b"], table.count())
     ranked = ranked.join(sizes, list(by)) if by else ranked.join(F.broadcast(sizes))  # one row without by
     upto = lambda s, n: F.try_divide(F.col(f"before_{s}") + F.col(s), F.col(n))
     stats = {"d": F.max(F.abs(upto("a", "_nx") - upto("b", "_ny"))), "nx": F.max("_nx"), "ny": F.max("_ny")}
@@ -236,6 +250,7 @@ def _against_normal(df: DataFrame, x, by: Sequence[str]) -> DataFrame:
     """value, t, before_t and the group's _n, _m, _s."""
     rows = df.select(*by, clean(x).alias("value")).where("value is not null")
     table = rows.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("t"))
+    # of the rows, not of the counted values, as sums of squares round
     moments = rows.groupBy(*by).agg(F.count("value").alias("_n"), F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
     ranked = prefix_sums(table, by, "value", ["t"])
     return ranked.join(moments, list(by)) if by else ranked.join(F.broadcast(moments))  # one row without by

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cdf, divide
+from .common import divide, p_value, upper_tail
 from .describe import kind_of
 
 _TERM = re.compile(r'\s*(?:"((?:[^"]|"")*)"|([A-Za-z_][A-Za-z0-9_.]*)|([0-9.]+)|(.))')
@@ -145,7 +145,7 @@ class Fit:
         self.f = self.f_p = None
         if self.dof > 0 and self.rss > 0 and self.tss > 0:
             self.f = (self.tss - self.rss) / df_model / self.sigma2
-            self.f_p = 1 - cdf("pf", self.f, float(df_model), float(self.dof))
+            self.f_p = upper_tail("f", self.f, float(df_model), float(self.dof))
 
     def terms(self, names: Sequence[str], cov: np.ndarray | None = None, t_dof: float | None = None) -> list[dict]:
         cov = self.bread * self.sigma2 if cov is None else cov
@@ -153,7 +153,7 @@ class Fit:
         for name, b, v in zip([*["(Intercept)"] * self.intercept, *names], self.beta, np.diag(cov)):
             se = math.sqrt(max(0.0, v))
             t = float(divide(b, se)) if se > 0 else None
-            p = 2 * (1 - cdf("pt", abs(t), float(t_dof or self.dof))) if t is not None else None
+            p = p_value("pt", t, "two-sided", float(t_dof or self.dof)) if t is not None else None
             out.append({"term": name, "estimate": float(b), "std_error": float(se), "t_statistic": t, "p_value": p})
         return out
 

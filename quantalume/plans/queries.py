@@ -658,12 +658,45 @@ def windowed_moments(spark, sf_dir):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", (F.round("mean", 6) + 0.0).alias("mean"), (F.round("variance", 5) + 0.0).alias("variance"))
 
 
-@query("""SELECT s_suppkey::DOUBLE AS "S_KEY", s_name AS "S_NAME", s_acctbal AS "S_BAL" FROM supplier""")
+def _copied(spark, sf_dir, name: str, options: str = "", columns: str = "c_custkey as c_key, c_name, c_acctbal as c_bal, c_mktsegment as c_segm") -> DataFrame:
+    """Customers through COPY into the shared folder and back by a file in FROM."""
+    import uuid
+
+    from ..operators.common import shared_dir
+    from .sql import sql
+
+    table(spark, sf_dir, "customer").selectExpr(*[c.replace(";", ",") for c in columns.split(", ")]).createOrReplaceTempView("customers_to_copy")
+    path = f"{shared_dir(spark)}/quantalume-{uuid.uuid4().hex}/{name}"
+    spark._jvm.org.apache.hadoop.fs.Path(path).getParent().getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path).getParent())
+    sql(spark, f"COPY customers_to_copy TO '{path}' {options}").collect()
+    return sql(spark, f"SELECT * FROM '{path}'")
+
+
+@query("""SELECT c_custkey::DOUBLE AS "C_KEY", c_name AS "C_NAME", c_acctbal AS "C_BAL", c_mktsegment AS "C_SEGM" FROM customer""")
 def xpt_round_trip(spark, sf_dir):
-    import tempfile
+    return _copied(spark, sf_dir, "customer.xpt")
+
+
+@query("""SELECT c_custkey::DOUBLE AS "A_LONG_CUSTOMER_KEY", c_name||c_name AS "C_NAME", c_acctbal AS "C_BAL" FROM customer""")
+def copy_xpt_8(spark, sf_dir):
+    return _copied(spark, sf_dir, "customer.xpt", "(VERSION 8, TABLE_NAME 'customers_of_all', LABEL 'customers')", "c_custkey as a_long_customer_key, concat(c_name;c_name) as c_name, c_acctbal as c_bal")
 
-    from ..sources.xpt import read_stat, write_xpt
 
-    path = tempfile.mkdtemp() + "/supplier.xpt"
-    write_xpt(table(spark, sf_dir, "supplier").selectExpr("s_suppkey as s_key", "s_name", "s_acctbal as s_bal"), path)
-    return read_stat(spark, "file://" + path)
+@query("""SELECT c_custkey::DOUBLE AS c_key, c_name, c_acctbal AS c_bal, c_mktsegment AS c_segm FROM customer""")
+def copy_sav(spark, sf_dir):
+    return _copied(spark, sf_dir, "customer.sav", "(COMPRESSION rows)")
+
+
+@query("""SELECT c_custkey::DOUBLE AS "C_KEY", c_name AS "C_NAME", c_acctbal AS "C_BAL", c_mktsegment AS "C_SEGM" FROM customer""")
+def copy_por(spark, sf_dir):
+    return _copied(spark, sf_dir, "customer.por")
+
+
+@query(f"""WITH s AS (SELECT l_returnflag, count(*) n, avg(l_quantity)-25 m, stddev_samp(l_quantity) sd, corr(l_quantity,l_discount) r FROM lineitem GROUP BY 1)
+ SELECT l_returnflag, n, {rounded(("t", "m/(sd/sqrt(n))"), ("p", t_p("(m/(sd/sqrt(n)))", "(n-1)")), ("r", "r"))} FROM s""")
+def sql_test_aggregates(spark, sf_dir):
+    from .sql import sql
+
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lines_to_test")
+    text = "SELECT l_returnflag, count(*) AS n, ttest_1samp(l_quantity, 25.0).t_statistic AS t, ttest_1samp(l_quantity, 25.0).p_value AS p, pearson_test(l_quantity, l_discount).r AS r FROM lines_to_test GROUP BY l_returnflag"
+    return sql(spark, text).select("l_returnflag", "n", *[(F.round(c, 6) + 0.0).alias(c) for c in ("t", "p", "r")])

@@ -1,4 +1,4 @@
-"""SQL front end: VISUALIZE, named table functions and statistics files, else plain Spark SQL."""
+"""SQL front end: VISUALIZE, COPY, test aggregates, named table functions and statistics files, else plain Spark SQL."""
 
 from __future__ import annotations
 
@@ -8,10 +8,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import describe, regression
-from ..sources import xpt
-from . import visualize
+from ..sources import stat_files, xpt
+from . import aggregates, visualize
 
 _CALL = re.compile(r"\b(meta|table_one|corr_matrix|lm_summary|lm|read_stat|read_stat_metadata)\s*\(", re.I)
+_COPY = re.compile(r"\s*COPY\s+(?P<what>\(.*\)|[\w.`\"]+)\s+TO\s+'(?P<path>(?:[^']|'')+)'\s*(?:\((?P<options>.*)\))?\s*;?\s*$", re.I | re.S)
 _FILE = re.compile(r"\b(from|join)\s+'([^']+\.(?:xpt|sav|zsav|por|dta|sas7bdat))'", re.I)
 
 
@@ -50,8 +51,34 @@ def _table_function(spark: SparkSession, name: str, args: list, named: dict) ->
     return function(df, **named)
 
 
+def _copy(spark: SparkSession, m: re.Match) -> DataFrame:
+    """COPY table | (query) TO 'file' (option value, ..): writes a statistics file and returns the number of rows."""
+    options = {}
+    for part in aggregates.split(m["options"] or ""):
+        name, _, value = part.strip().partition(" ")
+        if not value.strip():
+            raise ValueError(f"COPY: option {name.upper()} requires exactly one argument")
+        options[name.lower()] = aggregates.constant(spark, value.strip() if not re.fullmatch(r"\w+", value.strip()) or value.strip().isdigit() else f"'{value.strip()}'", name)
+    path = m["path"].replace("''", "'")
+    kind = str(options.pop("format", "") or path.rpartition(".")[2]).lower()
+    labels = {"xpt": "XPT", "sav": "SAV", "por": "POR"}
+    if kind not in labels:
+        raise ValueError(f"Cannot detect file format of '{path}': COPY writes xpt, sav and por files")
+    known = {"xpt": ("version", "table_name", "label"), "sav": ("label", "compression"), "por": ("label",)}[kind]
+    every = {"version": "XPT", "table_name": "XPT", "compression": "SAS7BDAT and SAV"}
+    for name in options:
+        if name not in known:
+            raise ValueError(f"{name.upper()} option is only meaningful for {every[name]} export, not {labels[kind]}" if name in every else f"Unrecognized {labels[kind]} option: {name}")
+    what = m["what"].strip()
+    df = sql(spark, what[1:-1]) if what.startswith("(") else spark.table(what)
+    writer = {"xpt": xpt.write_xpt, "sav": stat_files.write_sav, "por": stat_files.write_por}[kind]
+    return spark.createDataFrame([(writer(df, path, **options),)], "Count bigint")
+
+
 def sql(spark: SparkSession, text: str) -> DataFrame:
-    """Run a statement. Table functions and files in FROM become temporary views."""
+    """Run a statement. Table functions, test aggregates and files in FROM become temporary views."""
+    if m := _COPY.match(text):
+        return _copy(spark, m)
     if visualize.is_visualize(text):
         spec, layers = visualize.to_spec(text)
         return spark.createDataFrame([(spec, layers)], "spec string, layer_sqls map<string,string>")
@@ -68,4 +95,9 @@ def sql(spark: SparkSession, text: str) -> DataFrame:
         view = f"_quantalume_{abs(hash((text, n)))}_{n}"
         xpt.read_stat(spark, m[2]).createOrReplaceTempView(view)
         text, n = text[: m.start(2) - 1] + view + text[m.end(2) + 1 :], n + 1
+    # marks tell what they need: visualize_mark_v1_<name>()
+    for m in reversed(list(re.finditer(r"\bvisualize_mark_v1_(\w+)\s*\(\s*\)", aggregates.masked(text), re.I))):
+        text = text[: m.start()] + "'" + visualize.describe_mark(m[1].lower()) + "'" + text[m.end() :]
+    if aggregates.has_tests(text):
+        text = aggregates.rewrite(spark, text)
     return spark.sql(text)

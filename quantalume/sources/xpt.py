@@ -1,4 +1,4 @@
-"""SAS transport (XPORT version 5) files, from the public layout.
+"""SAS transport (XPORT versions 5 and 8) files, from the public layout.
 
 Records are 80 bytes; variables are described by 140-byte NAMESTR entries;
 observations are fixed-width rows, decoded with numpy a range at a time; missing numbers (a letter or '.' or '_' in the
@@ -59,13 +59,14 @@ class Layout:
     """Names, types, positions and row range of the first data set in a file."""
 
     def __init__(self, head: bytes, size: int, path: str):
-        if not head.startswith(b"HEADER RECORD*******LIBRARY HEADER RECORD!!!!!!!"):
+        long = head.startswith(_HEADER % b"LIBV8  ")
+        if not long and not head.startswith(_HEADER % b"LIBRARY"):
             raise ValueError(f"Failed to read '{path}': not a SAS transport file")
-        at = head.find(_HEADER % b"NAMESTR")
+        at = head.find(_HEADER % (b"NAMSTV8" if long else b"NAMESTR"))
         if at < 0:
             raise ValueError(f"Failed to read '{path}': no variable descriptors")
         count, width = int(head[at + 54 : at + 58]), 140
-        member = head.find(_HEADER % b"MEMBER ")
+        member = head.find(_HEADER % (b"MEMBV8 " if long else b"MEMBER "))
         if member >= 0 and head[member + 75 : member + 78].strip().isdigit():
             width = int(head[member + 75 : member + 78])
         at += RECORD
@@ -75,9 +76,18 @@ class Layout:
             kind, _, length, _ = struct.unpack(">hhhh", e[:8])
             text = lambda a, b, e=e: e[a:b].decode("utf-8", "replace").rstrip(" \0")
             (position,) = struct.unpack(">i", e[84:88])
-            self.variables.append({"name": text(8, 16), "label": text(16, 56), "format": text(56, 64), "numeric": kind == 1, "length": length, "at": position})
+            self.variables.append({"name": text(88, 120) if long else text(8, 16), "label": text(16, 56), "format": text(56, 64), "numeric": kind == 1, "length": length, "at": position})
         at += -(-count * width // RECORD) * RECORD
-        if not head[at:].startswith(_HEADER % b"OBS    "):
+        if long and head[at:].startswith(_HEADER % b"LABELV8"):
+            count = int(head[at + 48 : at + RECORD].split()[0])
+            at += RECORD
+            first = at
+            for _ in range(count):
+                number, n, m = struct.unpack(">hhh", head[at : at + 6])
+                self.variables[number - 1]["label"] = head[at + 6 + n : at + 6 + n + m].decode("utf-8", "replace")
+                at += 6 + n + m
+            at = first + -(-(at - first) // RECORD) * RECORD
+        if not head[at:].startswith(_HEADER % (b"OBSV8  " if long else b"OBS    ")):
             raise ValueError(f"Failed to read '{path}': no observation header")
         self.start = at + RECORD
         self.width = sum(v["length"] for v in self.variables)
@@ -155,8 +165,6 @@ def _format(path: str, format: str | None) -> str:
     found = format or EXTENSIONS.get(os.path.splitext(path)[1].lower())
     if not found:
         raise ValueError(f"Cannot detect file format of '{path}'")
-    if found == "por":
-        raise NotImplementedError(f"Failed to read '{path}': format '{found}' has no reader yet")
     return found
 
 
@@ -174,6 +182,13 @@ def _other(spark: SparkSession, path: str, format: str, encoding: str | None):
             length *= 8
 
 
+def _allow_time(spark: SparkSession, schema: T.StructType) -> T.StructType:
+    """Columns of the type TIME are off by default; a file that has some turns them on for the session."""
+    if any(isinstance(f.dataType, T.TimeType) for f in schema):
+        spark.conf.set("spark.sql.timeType.enabled", "true")
+    return schema
+
+
 def read_stat(spark: SparkSession, path: str, format: str | None = None, encoding: str | None = None) -> DataFrame:
     """A statistics file as a DataFrame; the schema comes from the header alone.
 
@@ -188,10 +203,10 @@ def read_stat(spark: SparkSession, path: str, format: str | None = None, encodin
                 for content in batch.column(0):
                     yield from other.batches(content.as_py())
 
-        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, stat_files.schema_of(other.variables))
+        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, _allow_time(spark, stat_files.schema_of(other.variables)))
     layout = _layout(spark, path)
     width, start, rows = layout.width, layout.start, layout.rows
-    schema = layout.schema()
+    schema = _allow_time(spark, layout.schema())
     if not rows:
         return spark.createDataFrame([], schema)
     names = [f"`{v['name']}`" for v in layout.variables]
@@ -234,63 +249,166 @@ def read_stat_metadata(spark: SparkSession, path: str, format: str | None = None
     return spark.createDataFrame(rows, "column_name string, type string, format string, label string")
 
 
-def _name(name: str, longest: int = 8) -> str:
-    name = name.upper()
-    if not re.fullmatch(r"[A-Z_][A-Z0-9_]*", name) or len(name) > longest:
-        raise ValueError(f"xpt: column name '{name}' must have 1 to {longest} of A-Z, 0-9 and _, not starting with a digit")
+def checked_name(name: str, label: str, longest: int, role: str = "column name", upper: bool = True) -> str:
+    """A name as a file format takes it; what doesn't fit is an error, never cut."""
+    if not name:
+        raise ValueError(f"Empty {role} not allowed in {label} export")
+    if len(name) > longest:
+        raise ValueError(f"{role} '{name}' is too long for {label} (max {longest} chars). Rename in your SELECT.")
+    name = name.upper() if upper else name
+    if not re.fullmatch(r"[A-Za-z0-9_]*", name):
+        raise ValueError(f"{role} '{name}' contains characters not allowed in {label} (only A-Z a-z 0-9 _ permitted)")
+    if name[0].isdigit():
+        raise ValueError(f"{role} '{name}' starts with a digit, not allowed in {label}")
     return name
 
 
-def write_xpt(df: DataFrame, path: str, table_name: str | None = None, label: str = "") -> None:
-    """Write a SAS transport file (version 5) on the driver, batch by batch; NULL numbers become missing."""
-    name = table_name or re.sub(r"[^A-Z0-9_]", "", os.path.splitext(os.path.basename(path))[0].upper())[:8]
-    if not name or name[0].isdigit():
-        name = "DATASET"
-    fields = df.schema.fields
-    names = [_name(f.name) for f in fields]
+def output(spark: SparkSession, path: str):
+    """A binary file to write: a local one, or through Hadoop's file system where the path names a store."""
+    if "://" not in path or path.startswith("file://"):
+        return open(path.removeprefix("file://"), "wb")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return _Stream(p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True))
+
+
+class _Stream:
+    def __init__(self, stream):
+        self._stream = stream
+
+    def write(self, data: bytes) -> None:
+        self._stream.write(bytearray(data))
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._stream.close()
+
+
+def longest_texts(df: DataFrame) -> dict[str, int]:
+    """Bytes of the longest text in each string column."""
+    from pyspark.sql import functions as F
+
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return df.agg(*[F.max(F.octet_length(f"`{c}`")).alias(c) for c in texts]).first().asDict() if texts else {}
+
+
+def encoded_rows(df: DataFrame, encode) -> Iterator[tuple[int, bytes]]:
+    """(rows, bytes) of ``df`` batch by batch, in order: tasks encode, the driver only gets bytes to append.
+
+    ``encode`` gets a list of arrays: float64 with NaN for NULL (seconds since
+    1970 for timestamps, days for dates, seconds for times) or lists of bytes.
+    """
     from pyspark.sql import functions as F
 
-    texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
-    longest = df.agg(*[F.max(F.octet_length(f"`{c}`")).alias(c) for c in texts]).first().asDict() if texts else {}
+    fields = df.schema.fields
+    columns = []
+    for f in fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(kind, T.TimestampType):
+            c = c.cast("timestamp_ntz")
+        elif not isinstance(kind, (T.StringType, T.DateType, T.TimestampNTZType)) and not kind.typeName().startswith("time"):
+            c = c.cast("double")
+        columns.append(c)
+
+    def values(x: pa.Array) -> np.ndarray | list[bytes]:
+        if pa.types.is_string(x.type) or pa.types.is_large_string(x.type):
+            return [b"" if v is None else v.encode() for v in x.to_pylist()]
+        scale = 1.0
+        if pa.types.is_date(x.type):
+            x = x.cast(pa.int32())
+        elif pa.types.is_timestamp(x.type) or pa.types.is_time(x.type):
+            scale = {"s": 1.0, "ms": 1e3, "us": 1e6, "ns": 1e9}[x.type.unit]
+            x = x.cast(pa.int64())
+        return x.cast(pa.float64()).to_numpy(zero_copy_only=False) / scale if scale != 1 else x.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body = encode([values(c) for c in batch.columns])
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([body], pa.binary())], ["n", "body"])
+
+    for row in df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(run, "n bigint, body binary").toLocalIterator(prefetchPartitions=True):
+        yield row["n"], bytes(row["body"])
+
+
+def padded(texts: list[bytes], width: int) -> np.ndarray:
+    """Texts filled with spaces to ``width`` bytes, as (n, width) bytes."""
+    return np.frombuffer(b"".join(t.ljust(width) for t in texts), np.uint8).reshape(len(texts), width)
+
+
+def write_xpt(df: DataFrame, path: str, table_name: str | None = None, label: str = "", version: int = 5) -> int:
+    """Write a SAS transport file of version 5 or 8 and return the number of rows.
+
+    NULL numbers become missing, NULL texts blank. Version 5 takes names of 8
+    characters and texts of 200 bytes, version 8 of 32 and 32,767, and labels of
+    256; longer ones raise, nothing is cut. Tasks encode the rows; the driver
+    appends their bytes in order.
+    """
+    if version not in (5, 8):
+        raise ValueError(f"XPT VERSION must be 5 or 8, got {version}")
+    kind, long = f"XPT v{version}", version == 8
+    most, widest = (32, 32_767) if long else (8, 200)
+    if table_name is not None:
+        name = checked_name(table_name, kind, most, "TABLE_NAME")
+    else:
+        try:
+            name = checked_name(os.path.splitext(os.path.basename(path))[0][:most], kind, most)
+        except ValueError:
+            name = "DATASET"
+    fields = df.schema.fields
+    names = [checked_name(f.name, kind, most) for f in fields]
+    if len(set(names)) < len(names):
+        raise ValueError(f"column names must differ in {kind}, whatever their case")
+    if len(label.encode()) > (256 if long else 40):
+        raise ValueError(f"LABEL is too long for {kind}")
+    longest = longest_texts(df)
     formats = {T.DateType: "DATE", T.TimestampNTZType: "DATETIME", T.TimestampType: "DATETIME"}
     widths = {"DATE": 9, "DATETIME": 19, "TIME": 8}
-    at, entries, lengths = 0, b"", []
+    at, entries, lengths, labels = 0, b"", [], b""
+    n_labels = 0
     for i, (f, n) in enumerate(zip(fields, names)):
         text = isinstance(f.dataType, T.StringType)
         fmt = formats.get(type(f.dataType), "TIME" if f.dataType.typeName().startswith("time") and not text else "")
-        length = max(1, min(200, longest.get(f.name) or 1)) if text else 8
-        comment = (f.metadata or {}).get("comment", "")
-        pad = lambda s, k: s.encode()[:k].ljust(k)
-        entries += struct.pack(">hhhh", 2 if text else 1, 0, length, i + 1) + pad(n, 8) + pad(comment, 40) + pad(fmt, 8)
-        entries += struct.pack(">hhh2s", widths.get(fmt, 0), 0, 0, b"\0\0") + b" " * 8 + struct.pack(">hhi", 0, 0, at) + b"\0" * 52
+        length = max(1, longest.get(f.name) or 1) if text else 8
+        if length > widest:
+            raise ValueError(f"column '{f.name}' holds a text of {length} bytes; {kind} takes {widest}")
+        comment = (f.metadata or {}).get("comment", "").encode()
+        if len(comment) > (256 if long else 40):
+            raise ValueError(f"label of column '{f.name}' is too long for {kind}")
+        if len(comment) > 40:
+            labels += struct.pack(">hhh", i + 1, len(n), len(comment)) + n.encode() + comment
+            n_labels += 1
+        entries += struct.pack(">hhhh", 2 if text else 1, 0, length, i + 1) + n.encode()[:8].ljust(8) + comment[:40].ljust(40) + fmt.encode().ljust(8)
+        entries += struct.pack(">hhh2s", widths.get(fmt, 0), 0, 0, b"\0\0") + b" " * 8 + struct.pack(">hhi", 0, 0, at)
+        entries += n.encode().ljust(32) + struct.pack(">h", len(comment)) + b"\0" * 18 if long else b"\0" * 52
         lengths.append(length)
         at += length
     stamp = datetime.datetime(2000, 1, 1).strftime("%d%b%y:%H:%M:%S").upper().encode()
-    fill = lambda b: b.ljust(RECORD)
-    head = fill(_HEADER % b"LIBRARY" + b"0" * 30) + fill(b"SAS     SAS     SASLIB  9.4     SPARK   " + b" " * 24 + stamp) + fill(stamp)
-    head += fill(_HEADER % b"MEMBER " + b"000000000000000001600000000140") + fill(_HEADER % b"DSCRPTR" + b"0" * 30)
-    head += fill(b"SAS     " + name.encode().ljust(8) + b"SASDATA 9.4     SPARK   " + b" " * 24 + stamp) + fill(stamp + b" " * 16 + label.encode()[:40].ljust(40))
-    head += fill(_HEADER % b"NAMESTR" + b"%010d" % len(names) + b"0" * 20) + entries.ljust(-(-len(entries) // RECORD) * RECORD) + fill(_HEADER % b"OBS    " + b"0" * 30)
-    written = len(head)
-    with open(path, "wb") as out:
+    fill = lambda b: b.ljust(-(-len(b) // RECORD) * RECORD)
+    part = lambda five, eight: _HEADER % (eight if long else five)
+    head = fill(part(b"LIBRARY", b"LIBV8  ") + b"0" * 30) + fill(b"SAS     SAS     SASLIB  9.4     SPARK   " + b" " * 24 + stamp) + fill(stamp)
+    head += fill(part(b"MEMBER ", b"MEMBV8 ") + b"000000000000000001600000000140") + fill(part(b"DSCRPTR", b"DSCPTV8") + b"0" * 30)
+    own = name.encode().ljust(32 if long else 8) + b"SASDATA 9.4     SPARK   "
+    head += fill(b"SAS     " + own + b" " * (0 if long else 24) + stamp) + fill(stamp + b" " * 16 + label.encode()[:40].ljust(40))
+    head += fill(part(b"NAMESTR", b"NAMSTV8") + b"%010d" % len(names) + b"0" * 20) + fill(entries)
+    if labels:
+        head += fill(_HEADER % b"LABELV8" + b"%d" % n_labels) + fill(labels)
+    head += fill(part(b"OBS    ", b"OBSV8  ") + b"0" * 30)
+    epochs = [float(_EPOCH) if isinstance(f.dataType, T.DateType) else _EPOCH * 86400.0 if fmt_is_stamp(f.dataType) else 0.0 for f in fields]
+
+    def encode(columns: list) -> bytes:
+        cells = [padded(x, k) if isinstance(x, list) else ieee_to_ibm(x - e) for x, k, e in zip(columns, lengths, epochs)]
+        return np.concatenate(cells, axis=1).tobytes()
+
+    rows = 0
+    with output(df.sparkSession, path) as out:
         out.write(head)
-        for row in df.toLocalIterator():
-            out.write(b"".join(_cell(v, f.dataType, k) for v, f, k in zip(row, fields, lengths)))
-            written += at
-        out.write(b" " * (-written % RECORD))
-
-
-def _cell(v, kind: T.DataType, length: int) -> bytes:
-    if isinstance(kind, T.StringType):
-        return (v or "").encode()[:length].ljust(length)
-    if v is None:
-        x = float("nan")
-    elif isinstance(v, datetime.datetime):
-        x = (v.replace(tzinfo=None) - datetime.datetime(1960, 1, 1)) / datetime.timedelta(seconds=1)
-    elif isinstance(v, datetime.date):
-        x = v.toordinal() - datetime.date(1960, 1, 1).toordinal()
-    elif isinstance(v, datetime.time):
-        x = v.hour * 3600 + v.minute * 60 + v.second + v.microsecond / 1e6
-    else:
-        x = float(v)
-    return ieee_to_ibm(np.array([x])).tobytes()
+        for n, body in encoded_rows(df, encode):
+            out.write(body)
+            rows += n
+        out.write(b" " * (-(rows * at) % RECORD))
+    return rows
+
+
+def fmt_is_stamp(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.TimestampType, T.TimestampNTZType))
