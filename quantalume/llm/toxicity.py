@@ -71,10 +71,28 @@ def maximal_segments(scored: list[tuple[int, float]], neutral: float = NEUTRAL)
     return [(a, b, r - l) for a, b, l, r in found]
 
 
-def _features(scored: list[tuple[int, float]], n_words: int, scale: float) -> list[float]:
-    segments = maximal_segments(scored) if scored else []
-    best = max((s for _, _, s in segments), default=0.0)
-    return [1.0, scale * best, math.log1p(n_words) / 4, math.log1p(max(0, len(segments) - 1))]
+def surprise(score: float, n_words: int, scale: float) -> float:
+    """-ln of the chance that a clean text of ``n_words`` has a segment of this score or more.
+
+    The largest score of such scans follows an extreme-value law: the chance is
+    1 - exp(-n exp(-scale * score)).
+    """
+    z = math.log(n_words) - scale * score if n_words else -scale * score
+    expected = math.exp(min(z, 50.0))
+    # for small expectations ln(1 - exp(-x)) is ln(x) - x / 2
+    return expected / 2 - z if z < -20 else -math.log(-math.expm1(-expected))
+
+
+def _features(scores: list[float], n_words: int, scale: float) -> list[float]:
+    """Of all segments' scores: intercept, scaled best, log length, log number of the others, log of what these add in surprise.
+
+    The law's chance of the best segment depends on the second less the log
+    length; calibration weighs both, as the chance itself is flat where evidence
+    is weak. Further segments add the surprise that the law gives them.
+    """
+    scores = sorted(scores, reverse=True)
+    further = sum(surprise(s, n_words, scale) for s in scores[1:])
+    return [1.0, scale * scores[0] if scores else 0.0, math.log1p(n_words) / 4, math.log1p(max(0, len(scores) - 1)), math.log1p(further)]
 
 
 @dataclass
@@ -83,24 +101,26 @@ class ToxicityModel:
 
     lexicon: dict[str, float] = field(default_factory=dict)
     scale: float = 1.0
-    weights: tuple[float, ...] = (-4.0, 1.0, 0.0, 0.0)
+    weights: tuple[float, ...] = (-4.0, 1.0, 0.0, 0.0, 0.0)
 
-    def features(self, text: str | None) -> list[float]:
-        """Intercept, scaled best score, log length, log of further segments."""
+    def segments(self, text: str | None) -> tuple[list[tuple[int, int, float]], int]:
+        """All maximal scoring segments of a text, and its number of tokens."""
         words = tokens(text)
-        get = self.lexicon.get
-        return _features([(i, s) for i, s in enumerate(map(get, words)) if s is not None], len(words), self.scale)
+        scored = [(i, s) for i, s in enumerate(map(self.lexicon.get, words)) if s is not None]
+        return (maximal_segments(scored) if scored else []), len(words)
+
+    def judge(self, text: str | None, level: float = 0.05) -> tuple[float, list[tuple[int, int, float]]]:
+        """The score, and the segments whose chance in a clean text of this length is at most ``level``."""
+        found, n = self.segments(text)
+        z = sum(w * x for w, x in zip(self.weights, _features([s for *_, s in found], n, self.scale)))
+        least = -math.log(level)
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z)))), [x for x in found if surprise(x[2], n, self.scale) >= least]
 
     def score(self, text: str | None) -> float:
-        z = sum(w * x for w, x in zip(self.weights, self.features(text)))
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+        return self.judge(text)[0]
 
     def passages(self, text: str | None, level: float = 0.05) -> list[tuple[int, int, float]]:
-        """Segments whose chance in a clean text of this length is at most ``level``."""
-        words = tokens(text)
-        scored = [(i, s) for i, s in enumerate(map(self.lexicon.get, words)) if s is not None]
-        chance = lambda s: 1 - math.exp(-len(words) * math.exp(-self.scale * s))
-        return [x for x in maximal_segments(scored) if chance(x[2]) <= level] if scored else []
+        return self.judge(text, level)[1]
 
 
 def _train_rows(labels: DataFrame, max_train: int) -> DataFrame:
@@ -142,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Toxic
     found = counted.where("word = '' or aggregate(toxic_, 0L, (a, x) -> a + x) >= 3").collect()
     sums = next((r for r in found if r["word"] == ""), None)
     if not sums or not sum(sums["clean"]) or not sum(sums["toxic_"]):
-        return ToxicityModel(weights=(-4.0, 0.0, 0.0, 0.0))
+        return ToxicityModel(weights=(-4.0, 0.0, 0.0, 0.0, 0.0))
 
     def evidence(without: int | None = None) -> dict[str, tuple[float, float, float]]:
         """Log-odds, standard errors of it and frequency in clean text of each word, without a fold."""
@@ -174,12 +194,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Toxic
             for text, f in zip(batch.column(0), batch.column(2).to_pylist()):
                 words = tokens(text.as_py())
                 hits = [(i, h) for i, h in enumerate(map(folds[f].get, words)) if h is not None]
-                x.append([v for z, scale in zip(EVIDENCE, scales[f]) for v in _features([(i, h[0]) for i, h in hits if h[1] >= z], len(words), scale)])
+                x.append([v for z, scale in zip(EVIDENCE, scales[f]) for v in _features([s for *_, s in maximal_segments([(i, h[0]) for i, h in hits if h[1] >= z])], len(words), scale)])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    # at most max_train rows of four numbers for each threshold; sorted, so that sums don't depend on the order of tasks
+    # at most max_train rows of five numbers for each threshold; sorted, so that sums don't depend on the order of tasks
     got = sorted((r["y"], r["x"]) for r in rows.mapInArrow(featured, "x array<double>, y int").collect())
-    y, x = np.array([r[0] for r in got], float), np.array([r[1] for r in got]).reshape(len(got), len(EVIDENCE), 4)
+    y, x = np.array([r[0] for r in got], float), np.array([r[1] for r in got]).reshape(len(got), len(EVIDENCE), 5)
     weights = [_logistic(x[:, k], y) for k in range(len(EVIDENCE))]
     k = min(range(len(EVIDENCE)), key=lambda k: _log_loss(x[:, k], y, weights[k]))
     model = at_least(EVIDENCE[k], evidence())
@@ -239,9 +259,9 @@ def toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD
         for batch in batches:
             scores, passages = [], []
             for t in batch.column(at):
-                t = t.as_py()
-                scores.append(m.score(t))
-                passages.append(len(m.passages(t)))
+                score, found = m.judge(t.as_py())
+                scores.append(score)
+                passages.append(len(found))
             flags = pa.array([int(s >= threshold) for s in scores], pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), flags, pa.array(passages, pa.int32())], [*names, "score", "predicted", "n_passages"])
 
