@@ -90,6 +90,15 @@ def flat(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.select(*by, "result.*")
 
 
+def joined(a: DataFrame, b: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on the group, whose columns may be null; without one ``b`` has one row."""
+    if not by:
+        return a.join(F.broadcast(b), F.lit(True), how)
+    rest = [c for c in b.columns if c not in by]
+    keys = [F.col(f"a_.`{k}`").eqNullSafe(F.col(f"b_.`{k}`")) for k in by]
+    return a.alias("a_").join(b.alias("b_"), keys, how).select(*[F.col(f"a_.`{c}`") for c in a.columns], *[F.col(f"b_.`{c}`") for c in rest])
+
+
 #: Rows of fixed size that one task sorts, or that are broadcast, after a count.
 SMALL_ROWS = 1_000_000
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import secrets
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import clean, finalize, small, written
+from . import ranks
+from .common import clean, finalize, joined, small, written
 from .ranks import kendall_test, prefix_sums, spearman_test
 
 SUMMARY = (
@@ -36,7 +38,7 @@ def quantiles(counts: DataFrame, by: Sequence[str], kind: int = 7, probs: Sequen
     rows = counts.count()
     n = counts.groupBy(*by).agg(F.sum("t").alias("_n"))
     ranked = prefix_sums(counts, by, "value", ["t"], rows)
-    ranked = _joined(ranked, small(n, rows) if by else n, by, "inner")
+    ranked = joined(ranked, small(n, rows) if by else n, by, "inner")
     stats = []
     for q in probs:
         n = F.col("_n").cast("double")
@@ -47,15 +49,6 @@ def quantiles(counts: DataFrame, by: Sequence[str], kind: int = 7, probs: Sequen
     return ranked.groupBy(*by).agg(F.array(*stats).alias("_q"))
 
 
-def _joined(a: DataFrame, b: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
-    """Join on the group, whose columns may be null; without one ``b`` has one row."""
-    if not by:
-        return a.join(F.broadcast(b), F.lit(True), how)
-    rest = [c for c in b.columns if c not in by]
-    keys = [F.col(f"a_.`{k}`").eqNullSafe(F.col(f"b_.`{k}`")) for k in by]
-    return a.alias("a_").join(b.alias("b_"), keys, how).select(*[F.col(f"a_.`{c}`") for c in a.columns], *[F.col(f"b_.`{c}`") for c in rest])
-
-
 def summary_stats(df: DataFrame, x, bias_correction: bool = True, quantile_type: int = 7, by: Sequence[str] = ()) -> DataFrame:
     """Moments, quartiles and mode of each group; NULL without values. NULL and NaN count as missing."""
     if quantile_type not in (5, 7):
@@ -68,9 +61,9 @@ def summary_stats(df: DataFrame, x, bias_correction: bool = True, quantile_type:
     base = df.groupBy(*by).agg(*[c.alias(f"_{k}") for k, c in stats.items()])
     counts = _counts(x, by, df)
     top = counts.groupBy(*by).agg(F.max(F.struct(F.col("t").alias("c"), (-F.col("value")).alias("v"))).alias("_top"))
-    most = _joined(counts, top, by, "inner")
+    most = joined(counts, top, by, "inner")
     many = most.groupBy(*by).agg(F.first("_top").alias("_top"), F.count_if(F.col("t") == F.col("_top.c")).alias("_modes"))
-    base = _joined(_joined(base, many, by), quantiles(counts, by, quantile_type), by)
+    base = joined(joined(base, many, by), quantiles(counts, by, quantile_type), by)
 
     def finish(s):
         n = s["n"]
@@ -106,7 +99,7 @@ def bin_edges(df: DataFrame, x, method: str = "sturges", by: Sequence[str] = ())
     stats = {"n": F.count(x), "low": F.min(x), "high": F.max(x), "sd": F.stddev_samp(x)}
     base = df.groupBy(*by).agg(*[c.alias(f"_{k}") for k, c in stats.items()])
     if method in ("fd", "auto"):
-        base = _joined(base, quantiles(_counts(x, by, df), by, 7, (0.25, 0.75)), by)
+        base = joined(base, quantiles(_counts(x, by, df), by, 7, (0.25, 0.75)), by)
     else:
         base = base.withColumn("_q", F.lit(None).cast("array<double>"))
 
@@ -130,46 +123,96 @@ def bin_edges(df: DataFrame, x, method: str = "sturges", by: Sequence[str] = ())
     return out.select(*by, F.col("result.edges").alias("edges"))
 
 
+def _moments(root: bool) -> Column:
+    n, d = F.sum("n"), F.sum("d")
+    v = F.when(n < 2, F.lit(math.nan)).otherwise(F.greatest((F.sum("dd") - d * d / n) / (n - 1), F.lit(0.0)))
+    return F.sqrt(v) if root else v
+
+
+#: Each statistic of a resample from what its ranges of values give: see :func:`_resample`.
 BOOTSTRAP = {
-    "mean": lambda x: x.mean(-1), "median": lambda x: np.median(x, -1), "sum": lambda x: x.sum(-1), "stddev": lambda x: _spread(x, True),
-    "sd": lambda x: _spread(x, True), "variance": lambda x: _spread(x, False), "var": lambda x: _spread(x, False),
-    "min": lambda x: x.min(-1), "max": lambda x: x.max(-1),
+    "mean": lambda: F.sum("total") / F.sum("n"), "median": lambda: (F.max("low") + F.max("high")) / 2, "sum": lambda: F.sum("total"),
+    "stddev": lambda: _moments(True), "sd": lambda: _moments(True), "variance": lambda: _moments(False), "var": lambda: _moments(False),
+    "min": lambda: F.min("least"), "max": lambda: F.max("most"),
 }
+RESAMPLED = "_i int, n bigint, total double, d double, dd double, least double, most double, low double, high double"
+
+
+def _seeds(seed: int, key: tuple, *more: int) -> list[int]:
+    return [seed & (2**63 - 1), int.from_bytes(hashlib.sha256(repr([str(k) for k in key]).encode()).digest()[:8], "little"), *more]
+
+
+def _resample(seed: int, keys: Sequence[str]):
+    """A function of one range of a group's values and the draws that fall into it in each iteration."""
 
+    def run(key: tuple, values: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        values, draws = values.sort_values("value"), draws.sort_values("_i")
+        v, share = values["value"].to_numpy(), values["t"].to_numpy() / max(1, values["t"].sum())
+        rng, out = np.random.default_rng(_seeds(seed, key[:-1], 1, int(key[-1]))), []
+        for i, k, start, n, centre in zip(*(draws[c].tolist() for c in ("_i", "_k", "_start", "_n", "_centre"))):
+            if not k:
+                continue
+            c = rng.multinomial(k, share)
+            u, c = v[c > 0], c[c > 0]
+            ends = start + np.cumsum(c)
+            low, high = (float(u[np.searchsorted(ends, r, "right")]) if start <= r < start + k else math.nan for r in ((n - 1) // 2, n // 2))
+            d = u - centre
+            out.append((i, k, float(c @ u), float(c @ d), float(c @ (d * d)), float(u[0]), float(u[-1]), low, high))
+        found = pd.DataFrame(out, columns=[x.split()[0] for x in RESAMPLED.split(", ")]).astype({"_i": "int32", "n": "int64"})
+        for name, k in zip(keys, key):
+            found[name] = pd.Series([k] * len(found), dtype="object")
+        return found
 
-def _spread(x: np.ndarray, root: bool) -> np.ndarray:
-    if x.shape[-1] < 2:
-        return np.full(x.shape[:-1], np.nan)
-    v = x.var(-1, ddof=1)
-    return np.sqrt(v) if root else v
+    return run
 
 
 def bootstrap(df: DataFrame, x, statistic: str, n_iters: int, seed: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """``replicates``: n_iters statistics of resamples with replacement, in each group.
 
-    Values are sorted and the seed is mixed with the group's key, so a seeded
-    result doesn't depend on partitions. A group is one task's work.
+    Values are counted and cut, in order, into ranges. Each iteration draws how
+    many of its values fall into each range, a task for each group and run of
+    iterations, then the counts of single values, a task for each range; what
+    the ranges give is summed. A seeded result doesn't depend on partitions.
     """
     name = str(statistic).lower()
     if name not in BOOTSTRAP:
         raise ValueError(f"bootstrap: unknown statistic '{statistic}'")
     if n_iters <= 0:
         raise ValueError("'n_iters' must be > 0")
+    if seed is None:
+        seed = secrets.randbits(63)  # drawn here, so a repeated task draws the same
     keys = list(by) or ["_all"]
-    rows = df.select(*by, clean(x).alias("_x"), *([] if by else [F.lit(0).alias("_all")]))
+    rows = df.select(*by, clean(x).alias("value"), *([] if by else [F.lit(0).alias("_all")]))
+    groups = rows.select(*keys).distinct()
+    counts = written(rows.where("value is not null").groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("t"), F.lit(1).alias("u")), "counts")
+    ranked = prefix_sums(counts, keys, "value", ["u"], counts.count())
+    values = written(ranked.withColumn("_range", F.expr(f"before_u div {ranks.RANGE_ROWS}")).select(*keys, "_range", "value", "t"), "ranges")
+    sizes = values.groupBy(*keys, "_range").agg(F.sum("t").alias("t"), F.sum(F.col("value") * F.col("t")).alias("s")).groupBy(*keys)
+    centre = F.try_divide(F.sum("s"), F.sum("t"))
+    sizes = sizes.agg(F.sort_array(F.collect_list(F.struct("_range", "t"))).alias("_sizes"), F.when(F.abs(centre) < math.inf, centre).otherwise(0.0).alias("_centre"))
+    step = max(1, n_iters // 64)
+    sizes = sizes.withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(n_iters - 1), F.lit(step))))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(part["_x"].dropna().to_numpy(float))
-        found = None
-        if len(v):
-            mixed = None if seed is None else [seed & (2**63 - 1), int.from_bytes(hashlib.sha256(repr([str(k) for k in key]).encode()).digest()[:8], "little")]
-            rng = np.random.default_rng(mixed)
-            step = max(1, 4_000_000 // len(v))
-            found = np.concatenate([BOOTSTRAP[name](v[rng.integers(0, len(v), (min(step, n_iters - i), len(v)))]) for i in range(0, n_iters, step)]).tolist()
-        return pd.DataFrame({**dict(zip(keys, ([k] for k in key))), "replicates": [found]})
-
-    return rows.groupBy(*keys).applyInPandas(run, f"{fields}, replicates array<double>").select(*by, "replicates")
+    def allot(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        first, ranges = int(key[-1]), part["_sizes"].iloc[0]
+        t = np.array([r["t"] for r in ranges], np.int64)
+        n, rng = int(t.sum()), np.random.default_rng(_seeds(seed, key[:-1], 0, first))
+        draws = rng.multinomial(n, t / n, min(step, n_iters - first))
+        start = np.cumsum(draws, 1) - draws
+        m = len(t)
+        out = pd.DataFrame({"_range": np.tile(np.arange(m), len(draws)), "_i": np.repeat(np.arange(first, first + len(draws)), m), "_k": draws.ravel(), "_start": start.ravel(), "_n": n, "_centre": part["_centre"].iloc[0]})
+        for name, k in zip(keys, key):
+            out[name] = pd.Series([k] * len(out), dtype="object")
+        return out
+
+    draws = sizes.groupBy(*keys, "_first").applyInPandas(allot, f"_range bigint, _i int, _k bigint, _start bigint, _n bigint, _centre double, {fields}")
+    within = [*keys, "_range"]
+    found = values.groupBy(*within).cogroup(draws.groupBy(*within)).applyInPandas(_resample(seed, keys), f"{RESAMPLED}, {fields}")
+    found = found.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("low", "high")})
+    found = found.groupBy(*keys, "_i").agg(BOOTSTRAP[name]().alias("_v")).groupBy(*keys)
+    found = found.agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda r: r["_v"]).alias("replicates"))
+    return joined(groups, found, keys).select(*by, "replicates")
 
 
 # SQL names of Spark types.

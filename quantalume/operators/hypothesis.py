@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import aggregate, cdf, check_alpha, check_alternative, clean, divide, finalize, num, p_value, upper_tail
+from .common import aggregate, cdf, check_alpha, check_alternative, clean, divide, finalize, joined, num, p_value, upper_tail
 
 TTEST = (
     "test_type string, t_statistic double, df double, p_value double, alternative string, mean_diff double, "
@@ -167,12 +167,9 @@ def anova_oneway(df: DataFrame, value, group, by: Sequence[str] = ()) -> DataFra
         "grand": F.try_divide(F.sum(F.col("c") * F.col("m")), F.sum("c")),
     }
     first = cells.groupBy(*by).agg(*[c.alias(f"_{k}") for k, c in stats.items()])
-    if by:
-        joined = cells.join(first.select(*by, "_grand"), list(by))
-    else:
-        joined = cells.join(F.broadcast(first.select("_grand")))  # one row
-    between = joined.groupBy(*by).agg(F.sum(F.col("c") * F.pow(F.col("m") - F.col("_grand"), 2)).alias("_between"))
-    both = first.join(between, list(by)) if by else first.join(F.broadcast(between))  # one row each without by
+    against = joined(cells, first.select(*by, "_grand"), by, "inner")
+    between = against.groupBy(*by).agg(F.sum(F.col("c") * F.pow(F.col("m") - F.col("_grand"), 2)).alias("_between"))
+    both = joined(first, between, by, "inner")
 
     def finish(s):
         k, n = s["k"], s["n"] or 0
@@ -205,7 +202,7 @@ def chisq_independence(df: DataFrame, row, col, continuity: bool = False, by: Se
     cells = df.where("_r is not null and _c is not null").groupBy(*by, "_r", "_c").agg(F.count(F.lit(1)).cast("double").alias("o"))
     rows = cells.groupBy(*by, "_r").agg(F.sum("o").alias("rt"))
     cols = cells.groupBy(*by, "_c").agg(F.sum("o").alias("ct"))
-    table = cells.join(rows, [*by, "_r"]).join(cols, [*by, "_c"])
+    table = joined(joined(cells, rows, [*by, "_r"], "inner"), cols, [*by, "_c"], "inner")
     stats = {
         "q": F.sum(F.col("o") * F.col("o") / (F.col("rt") * F.col("ct"))), "n": F.sum("o"), "r": F.count_distinct("_r"), "c": F.count_distinct("_c"),
         "det": F.max(F.struct("o", "rt", "ct")),

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SMALL_ROWS, aggregate, check_alpha, check_alternative, clean, finalize, num, p_value, small, written
+from .common import SMALL_ROWS, aggregate, check_alpha, check_alternative, clean, finalize, joined, num, p_value, small, written
 from .hypothesis import correlation_result
 
 #: Distinct values that a range of the two-level prefix sums holds, about.
@@ -42,13 +42,13 @@ def prefix_sums(table: DataFrame, by: Sequence[str], value: str, sums: Sequence[
     cuts = [i / ranges for i in range(1, ranges)]
     finite = F.when(~F.isnan(value), F.col(value))
     bounds = table.groupBy(*by).agg(F.percentile_approx(finite, cuts, max(2000, 20 * ranges)).alias("_cuts"))
-    keyed = table.join(bounds, list(by)) if by else table.join(F.broadcast(bounds))  # one row without by
+    keyed = joined(table, bounds, by, "inner")
     keyed = keyed.withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))).drop("_cuts")
     ranges = keyed.groupBy(*by, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     over = Window.partitionBy(*by, F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{s}").over(over), F.lit(0)).alias(f"_b_{s}") for s in sums])
     inner = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = keyed.join(ranges, [*by, "_range"])
+    out = joined(keyed, ranges, [*by, "_range"], "inner")
     out = out.withColumns({f"before_{s}": F.col(f"_b_{s}") + F.coalesce(F.sum(s).over(inner), F.lit(0)) for s in sums})
     return out.drop("_range", *[f"_b_{s}" for s in sums])
 
@@ -151,69 +151,98 @@ def spearman_test(df: DataFrame, x, y, alpha: float = 0.05, alternative: str = "
 KENDALL = "test_type string, tau double, z_statistic double, p_value double, alternative string, n bigint"
 
 
-def inversions(y: np.ndarray) -> int:
-    """Pairs i < j with y[i] > y[j], by merge counting on ranks."""
-    total, y = 0, np.unique(y, return_inverse=True)[1].astype(np.int64)
-    width, n = 1, len(y)
-    while width < n:
-        for start in range(0, n - width, 2 * width):
-            a, b = y[start : start + width], y[start + width : start + 2 * width]
-            total += int((len(a) - np.searchsorted(a, b, "right")).sum())
-            y[start : start + 2 * width] = np.sort(y[start : start + 2 * width], kind="stable")
-        width *= 2
-    return total
+def concordance(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """Weighted pairs with x and y in the same order, less those in opposite order.
 
-
-def kendall_counts(x: np.ndarray, y: np.ndarray) -> tuple[int, float, float]:
-    """(concordant minus discordant, tau-b, variance of that difference)."""
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    n = len(x)
-    ties = lambda v: np.unique(v, return_counts=True, axis=0)[1].astype(float)
-    tx, ty, txy = ties(x), ties(y), ties(np.stack([x, y], 1))
-    pairs = lambda t: float((t * (t - 1) / 2).sum())
-    whole = n * (n - 1) / 2
-    nx, ny, nxy = pairs(tx), pairs(ty), pairs(txy)
-    s = whole - nx - ny + nxy - 2 * inversions(y)
-    denom = math.sqrt((whole - nx) * (whole - ny))
-    v0 = n * (n - 1) * (2 * n + 5)
-    v = lambda t: float((t * (t - 1) * (2 * t + 5)).sum())
-    v1 = pairs(tx) * pairs(ty) * 4 / (2 * n * (n - 1))
-    w = lambda t: float((t * (t - 1) * (t - 2)).sum())
-    v2 = w(tx) * w(ty) / (9 * n * (n - 1) * (n - 2)) if n > 2 else 0.0
-    return int(s), s / denom if denom > 0 else math.nan, (v0 - v(tx) - v(ty)) / 18 + v1 + v2
-
-
-def _grouped(df: DataFrame, by: Sequence[str], columns: dict[str, Column], run, schema: str) -> DataFrame:
-    """A function of whole groups (pandas) that gives a struct; for statistics without partial forms."""
-    keys = list(by) or ["_all"]
-    df = df.select(*by, *[c.alias(k) for k, c in columns.items()], *([] if by else [F.lit(0).alias("_all")]))
-    fields = df.select(*keys).schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-
-    def apply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = run(rows)
-        return pd.DataFrame({**dict(zip(keys, ([k] for k in key))), "found": [found is not None], "result": [found or {}]})
-
-    out = df.groupBy(*keys).applyInPandas(apply, f"{fields}, found boolean, result struct<{', '.join(s.strip().replace(' ', ':', 1) for s in schema.split(','))}>")
-    return out.select(*by, F.when(F.col("found"), F.col("result")).alias("result"))
+    Ranks of x are split bit by bit: two points of different x fall into sibling
+    halves at exactly one bit, where sums in the order of y count them.
+    """
+    order = np.argsort(y, kind="stable")
+    x, y = np.unique(x, return_inverse=True)[1][order], np.unique(y, return_inverse=True)[1][order]
+    weight, total = weight[order].astype(np.longdouble), np.longdouble(0)
+    for bit in range(int(x.max()).bit_length()):
+        half = x >> (bit + 1)
+        at = np.argsort(half, kind="stable")  # halves one after the other, each in the order of y
+        h, v, w = half[at], y[at], weight[at]
+        right = (x[at] >> bit & 1).astype(bool)
+        upto = np.concatenate([[0], np.cumsum(np.where(right, 0, w))])
+        place = np.arange(len(h))
+        new_half = np.concatenate([[True], h[1:] != h[:-1]])
+        new_tie = new_half | np.concatenate([[True], v[1:] != v[:-1]])
+        first = np.maximum.accumulate(np.where(new_half, place, 0))
+        last = np.append(np.flatnonzero(new_half)[1:], len(h))[np.cumsum(new_half) - 1]
+        tie = np.maximum.accumulate(np.where(new_tie, place, 0))
+        tie_end = np.append(np.flatnonzero(new_tie)[1:], len(h))[np.cumsum(new_tie) - 1]
+        below, above = upto[tie] - upto[first], upto[last] - upto[tie_end]
+        total += (w * (below - above))[right].sum()
+    return float(total)
+
+
+def _concordance(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``_s``: concordant less discordant pairs, in one or several rows of each group.
+
+    ``pairs`` holds _x, _y and their count _c. The values of x are cut into
+    ordered blocks of about RANGE_ROWS rows; pairs within a block are counted in
+    a task. An x with more rows than that is a block of its own and has no such
+    pairs. Pairs of different blocks are counted at the bit of the block number
+    that tells them apart, by prefix sums over y.
+    """
+    xs = pairs.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_m"))
+    xs = prefix_sums(xs, by, "_x", ["_m"])
+    block = F.expr(f"2 * (before__m div {RANGE_ROWS})") + (F.col("_m") >= RANGE_ROWS).cast("bigint")
+    rows = written(joined(pairs, xs.select(*by, "_x", block.alias("_block")), [*by, "_x"], "inner"), "blocks")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by, "_block").schema)
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        s = concordance(part["_x"].to_numpy(), part["_y"].to_numpy(), part["_c"].to_numpy())
+        return pd.DataFrame({**{k: [v] for k, v in zip([*by, "_block"], key)}, "_s": [s]})
+
+    within = rows.where("_block % 2 = 0").groupBy(*by, "_block").applyInPandas(run, f"{fields}, _s double").select(*by, "_s")
+    bits = (rows.agg(F.max("_block")).first()[0] or 0).bit_length()
+    if not bits:
+        return within
+    # a row is left or right of a split at each bit
+    split = rows.withColumn("_bit", F.explode(F.array(*map(F.lit, range(bits)))))
+    part, side = F.expr("shiftright(_block, _bit + 1)"), F.expr("shiftright(_block, _bit) & 1")
+    split = split.groupBy(*by, "_bit", part.alias("_part"), "_y").agg(F.sum(F.when(side == 0, F.col("_c")).otherwise(0)).alias("_l"), F.sum(F.when(side == 1, F.col("_c")).otherwise(0)).alias("_r"))
+    split = prefix_sums(split, [*by, "_bit", "_part"], "_y", ["_l"])
+    long = lambda c: F.col(c).cast("decimal(18,0)")
+    sums = split.groupBy(*by, "_bit", "_part").agg(
+        F.sum(long("_r") * (2 * F.col("before__l") + F.col("_l")).cast("decimal(19,0)")).alias("_a"), F.sum("_l").alias("_l"), F.sum("_r").alias("_r")
+    )
+    across = sums.select(*by, (F.col("_a") - long("_l") * F.col("_r").cast("decimal(19,0)")).cast("double").alias("_s"))
+    return within.unionByName(across)
 
 
 def kendall_test(df: DataFrame, x, y, alternative: str = "two-sided", by: Sequence[str] = ()) -> DataFrame:
-    """Kendall tau-b in n log n; a group is one task's work, as no partial form exists."""
+    """Kendall tau-b from counted (x, y), with the variance for ties; no task holds a group."""
     check_alternative(alternative)
-
-    def run(rows: pd.DataFrame):
-        rows = rows.dropna(subset=["_x", "_y"])
-        if len(rows) < 3:
+    both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    pairs = df.select(*by, clean(x).alias("_x"), clean(y).alias("_y")).select(*by, *[F.when(both, F.col(c)).alias(c) for c in ("_x", "_y")])
+    pairs = written(pairs.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("_c")), "pairs")
+    full = pairs.where("_x is not null")
+    parts = pairs.groupBy(*by).agg(F.sum(F.when(F.col("_x").isNotNull(), F.col("_c")).otherwise(0)).alias("_n"))
+    t = F.col("_t").cast("double")
+    for c in ("x", "y"):
+        ties = full.groupBy(*by, f"_{c}").agg(F.sum("_c").alias("_t")).where("_t > 1")
+        ties = ties.groupBy(*by).agg(F.sum(t * (t - 1) / 2).alias(f"_p{c}"), F.sum(t * (t - 1) * (2 * t + 5)).alias(f"_v{c}"), F.sum(t * (t - 1) * (t - 2)).alias(f"_w{c}"))
+        parts = parts.unionByName(ties, allowMissingColumns=True)
+    parts = parts.unionByName(_concordance(full, by), allowMissingColumns=True)
+    names = ["n", "s", "px", "vx", "wx", "py", "vy", "wy"]
+
+    def finish(found):
+        n, s, px, vx, wx, py, vy, wy = (found[k] or 0 for k in names)
+        if n < 3:
             return None
-        s, tau, var = kendall_counts(rows["_x"].to_numpy(float), rows["_y"].to_numpy(float))
-        if tau != tau:
+        whole = n * (n - 1) / 2
+        scale = math.sqrt((whole - px) * (whole - py))
+        if not scale:
             return None
+        var = (n * (n - 1) * (2 * n + 5) - vx - vy) / 18 + px * py * 4 / (2 * n * (n - 1)) + wx * wy / (9 * n * (n - 1) * (n - 2))
         z = s / math.sqrt(var) if var > 0 else 0.0
-        return {"test_type": "Kendall tau-b", "tau": tau, "z_statistic": z, "p_value": p_value("pnorm", z, alternative), "alternative": alternative, "n": len(rows)}
+        return {"test_type": "Kendall tau-b", "tau": s / scale, "z_statistic": z, "p_value": p_value("pnorm", z, alternative), "alternative": alternative, "n": n}
 
-    return _grouped(df, by, {"_x": clean(x), "_y": clean(y)}, run, KENDALL)
+    return aggregate(parts, by, {k: F.sum(f"_{k}") for k in names}, finish, KENDALL)
 
 
 KS1 = "test_type string, d_statistic double, p_value double, n bigint"
@@ -233,7 +262,7 @@ def ks_test_2samp(df: DataFrame, x, y, by: Sequence[str] = ()) -> DataFrame:
     table = written(two_samples(df, clean(x), clean(y), by), "counts")
     sizes = table.groupBy(*by).agg(F.sum("a").alias("_nx"), F.sum("b").alias("_ny"))
     ranked = prefix_sums(table, by, "value", ["a", "b"], table.count())
-    ranked = ranked.join(sizes, list(by)) if by else ranked.join(F.broadcast(sizes))  # one row without by
+    ranked = joined(ranked, sizes, by, "inner")
     upto = lambda s, n: F.try_divide(F.col(f"before_{s}") + F.col(s), F.col(n))
     stats = {"d": F.max(F.abs(upto("a", "_nx") - upto("b", "_ny"))), "nx": F.max("_nx"), "ny": F.max("_ny")}
 
@@ -253,7 +282,7 @@ def _against_normal(df: DataFrame, x, by: Sequence[str]) -> DataFrame:
     # of the rows, not of the counted values, as sums of squares round
     moments = rows.groupBy(*by).agg(F.count("value").alias("_n"), F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
     ranked = prefix_sums(table, by, "value", ["t"])
-    return ranked.join(moments, list(by)) if by else ranked.join(F.broadcast(moments))  # one row without by
+    return joined(ranked, moments, by, "inner")
 
 
 def ks_test_1samp(df: DataFrame, x, by: Sequence[str] = ()) -> DataFrame:
@@ -379,9 +408,9 @@ def shapiro_wilk(df: DataFrame, x, by: Sequence[str] = ()) -> DataFrame:
     sizes = rows.groupBy(*by).agg(F.count("_x").alias("_n"))
     fit = sizes.where(F.col("_n").between(3, MAX_SHAPIRO))
     live = rows.where("_x is not null")
-    live = live.join(fit, list(by)) if by else live.join(F.broadcast(fit))  # one row without by
+    live = joined(live, fit, by, "inner")
     lists = live.groupBy(*by).agg(F.collect_list("_x").alias("_v"))  # at most 5000 values each
-    both = sizes.join(lists, list(by), "left") if by else sizes.join(F.broadcast(lists), F.lit(True), "left")
+    both = joined(sizes, lists, by)
 
     def finish(s):
         found = shapiro(np.array(s["v"], float)) if s["v"] else None

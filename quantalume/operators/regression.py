@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import divide, p_value, upper_tail
+from .common import divide, joined, p_value, upper_tail
 from .describe import kind_of
 
 _TERM = re.compile(r'\s*(?:"((?:[^"]|"")*)"|([A-Za-z_][A-Za-z0-9_.]*)|([0-9.]+)|(.))')
@@ -221,7 +221,7 @@ def lm_fit(
     finite = " and ".join([f"v{i} is not null and not isnan(v{i}) and abs(v{i}) < double('infinity')" for i in range(k + 1)] + ["_cl is not null"] * bool(group))
     good = rows.where(finite)
     v = [F.col(f"v{i}") for i in range(k + 1)]
-    join = (lambda a, b, how="inner": a.join(b, list(by), how)) if by else (lambda a, b, how="inner": a.join(F.broadcast(b), F.lit(True), how))
+    join = lambda a, b, how="inner": joined(a, b, by, how)
     means = good.groupBy(*by).agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(v)])
     centred = join(good, means)
     moments = moment_columns(v[k] - F.col(f"_m{k}"), [v[i] - F.col(f"_m{i}") for i in range(k)], [0.0] * (k + 1))
@@ -280,4 +280,4 @@ def lm_fit(
 
     every = df.select(*by).distinct() if by else None
     out = done.select(*by, F.udf(finish, LM_FIT)("_stats", "_meat", "_g").alias("result"))
-    return every.join(out, list(by), "left") if by else out
+    return joined(every, out, by) if by else out

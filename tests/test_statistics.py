@@ -87,9 +87,71 @@ def test_kendall_counts_against_all_pairs():
     import numpy as np
 
     rng = np.random.default_rng(3)
-    x, y = rng.integers(0, 6, 60), rng.integers(0, 6, 60)
-    s = sum(int(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j])) for i in range(60) for j in range(i))
-    assert ranks.kendall_counts(x.astype(float), y.astype(float))[0] == s
+    for levels in (1, 2, 6, 40):
+        x, y, w = rng.integers(0, levels, 60), rng.integers(0, 6, 60), rng.integers(1, 4, 60)
+        s = sum(int(w[i] * w[j] * np.sign(x[i] - x[j]) * np.sign(y[i] - y[j])) for i in range(60) for j in range(i))
+        assert ranks.concordance(x.astype(float), y.astype(float), w) == s
+
+
+def test_kendall_in_blocks(spark, monkeypatch):
+    """Many small blocks, a hot x, null groups, nulls and an empty group give what one block gives."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(g, float(rng.integers(0, 20)), float(rng.integers(0, 30))) for g in ("a", None) for _ in range(150)]
+    rows += [("a", 7.0, float(i)) for i in range(60)] + [("a", None, 1.0), ("a", math.nan, 1.0), ("b", None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    whole = {r["g"]: r["result"] for r in ranks.kendall_test(df, "x", "y", by=["g"]).collect()}
+    assert set(whole) == {"a", "b", None} and whole["b"] is None
+    for g in ("a", None):
+        x, y = (np.array([r[k] for r in rows if r[0] == g and r[1] is not None and r[1] == r[1]]) for k in (1, 2))
+        sx, sy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+        tau = (sx * sy).sum() / math.sqrt((sx * sx).sum() * (sy * sy).sum())
+        assert whole[g]["tau"] == pytest.approx(tau, abs=1e-12) and whole[g]["n"] == len(x)
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 25)
+    monkeypatch.setattr(ranks, "SMALL_ROWS", 10)
+    assert {r["g"]: r["result"] for r in ranks.kendall_test(df, "x", "y", by=["g"]).collect()} == whole
+
+
+def test_null_is_a_group_of_its_own(spark):
+    rng = __import__("random").Random(2)
+    rows = [(g, rng.gauss(0, 1), rng.gauss(0, 1), rng.choice("pqr"), rng.choice("st")) for g in ("a", None) for _ in range(40)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, r string, c string")
+    a = df.where("g = 'a'")
+    for test, args in [
+        (hypothesis.anova_oneway, ("x", "r")), (hypothesis.chisq_independence, ("r", "c")), (ranks.shapiro_wilk, ("x",)), (ranks.ks_test_1samp, ("x",)),
+        (ranks.ks_test_2samp, ("x", "y")), (ranks.anderson_darling, ("x",)), (ranks.mann_whitney_u, ("x", "y")), (ranks.spearman_test, ("x", "y")),
+        (ranks.kendall_test, ("x", "y")), (regression.lm_fit, ("y", ["x"], "HC1")), (ranks.wilcoxon_signed_rank, ("x", "y")),
+    ]:
+        got = {r["g"]: r["result"] for r in test(df, *args, by=["g"]).collect()}
+        alone = [test(d, *args).first()["result"] for d in (a, df.where("g is null"))]
+        for g, want in zip(("a", None), alone):
+            assert got[g] is not None, test.__name__
+            flat = lambda r: [v for v in r if not isinstance(v, list)]
+            assert [pytest.approx(v, rel=1e-9) if isinstance(v, float) else v for v in flat(want)] == flat(got[g]), test.__name__
+
+
+def test_bootstrap(spark, monkeypatch):
+    """Moments of replicates against theory, NULL for groups without values, the same for any partitions, in many ranges too."""
+    import numpy as np
+
+    rows = [("a", float(i)) for i in range(100)] + [(None, 3.0)] + [("b", None), ("c", 1.0), ("c", math.inf)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    exact = {"mean": 49.5, "median": 49.5, "sum": 4950.0, "sd": 28.87, "var": 833.25, "min": 0.0, "max": 99.0}
+    for ranges in (250_000, 7):
+        monkeypatch.setattr(ranks, "RANGE_ROWS", ranges)
+        got = {r["g"]: r["replicates"] for r in describe.bootstrap(df, "x", "mean", 400, seed=1, by=["g"]).collect()}
+        assert got["b"] is None and got[None] == [3.0] * 400 and len(got["a"]) == 400 and set(got["c"]) == {1.0, math.inf}
+        assert np.mean(got["a"]) == pytest.approx(49.5, abs=0.6) and np.std(got["a"]) == pytest.approx(2.887, rel=0.15)
+        again = describe.bootstrap(df.repartition(3), "x", "MEAN", 400, seed=1, by=["g"]).where("g = 'a'").first()["replicates"]
+        assert again == got["a"]
+    for name, want in exact.items():
+        v = describe.bootstrap(df.where("g = 'a'"), "x", name, 100, seed=2).first()["replicates"]
+        assert len(v) == 100 and np.mean(v) == pytest.approx(want, rel=0.1, abs=3)
+        if name == "median":
+            assert all((2 * m).is_integer() for m in v) and 3 < np.std(v) < 7
+    assert describe.bootstrap(df.where("g is null"), "x", "sd", 2, seed=2).first()["replicates"][0] != 0.0  # one value has no spread
+    assert describe.bootstrap(df.where("g = 'z'"), "x", "sd", 2).count() == 0
 
 
 def test_poibin_query_has_a_row_for_every_order(spark):
