@@ -299,7 +299,7 @@ def _numeric_columns(df: DataFrame, variables: Sequence[str] | None, at_least: i
 
 
 def corr_matrix(df: DataFrame, variables: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:
-    """Long correlation matrix; Pearson takes one pass for all pairs of the upper triangle."""
+    """Long correlation matrix; all pairs of the upper triangle share one plan."""
     names = _numeric_columns(df, variables, 2, "corr_matrix")
     if method not in ("pearson", "spearman", "kendall"):
         raise ValueError(f"corr_matrix: unknown method '{method}'")
@@ -329,13 +329,16 @@ def corr_matrix(df: DataFrame, variables: Sequence[str] | None = None, method: s
         wide = df.agg(*aggs)
         return wide.select(F.inline(F.udf(finish, f"array<struct<{CORR.replace(' ', ':').replace(',:', ',')}>>")(F.struct("*"))))
     test, field = (spearman_test, "rho") if method == "spearman" else (kendall_test, "tau")
-    out = None
-    for i, j in pairs:
-        one = test(df, f"`{names[i]}`", f"`{names[j]}`").select("result.*")
-        cells = [F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.lit(names[a]).alias("row_var"), F.lit(names[b]).alias("col_var"), F.col(field).alias("coef"), "p_value", "n") for a, b in {(i, j): 1, (j, i): 1}]
-        one = one.select(F.inline(F.array(*cells)))
-        out = one if out is None else out.unionByName(one)
-
+    # all pairs as groups of one plan; a pair without rows keeps its place
+    place = lambda i, j: [F.lit(i).alias("i"), F.lit(j).alias("j")]
+    cells = [F.struct(*place(i, j), clean(f"`{names[i]}`").alias("x"), clean(f"`{names[j]}`").alias("y")) for i, j in pairs]
+    found = test(df.select(F.inline(F.array(*cells))), "x", "y", by=["i", "j"])
+    grid = df.sparkSession.range(1).select(F.inline(F.array(*[F.struct(*place(i, j)) for i, j in pairs])))
+    found = joined(grid, found, ["i", "j"]).select("i", "j", F.col(f"result.{field}").alias("coef"), "result.p_value", "result.n")
+    both = [F.struct(F.col(a).alias("i"), F.col(b).alias("j"), "coef", "p_value", "n") for a, b in (("i", "j"), ("j", "i"))]
+    out = found.select(F.inline(F.when(F.col("i") == F.col("j"), F.array(both[0])).otherwise(F.array(*both))))
+    name = F.array(*[F.lit(n) for n in names])
+    out = out.select("i", "j", name[F.col("i")].alias("row_var"), name[F.col("j")].alias("col_var"), "coef", "p_value", "n")
     return out.orderBy("i", "j").drop("i", "j")
 
 

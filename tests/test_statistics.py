@@ -113,6 +113,18 @@ def test_kendall_in_blocks(spark, monkeypatch):
     assert {r["g"]: r["result"] for r in ranks.kendall_test(df, "x", "y", by=["g"]).collect()} == whole
 
 
+def test_rank_correlation_matrix(spark):
+    df = spark.createDataFrame([(float(i), float(i % 4), float(-i), None) for i in range(12)], "a double, b double, c double, d double")
+    for method, test, field in (("spearman", ranks.spearman_test, "rho"), ("kendall", ranks.kendall_test, "tau")):
+        got = describe.corr_matrix(df, list("abcd"), method).collect()
+        assert [(r["row_var"], r["col_var"]) for r in got] == [(x, y) for x in "abcd" for y in "abcd"]
+        cell = {(r["row_var"], r["col_var"]): r for r in got}
+        want = one(test(df, "a", "b"))
+        assert cell["b", "a"]["coef"] == cell["a", "b"]["coef"] == pytest.approx(want[field]) and cell["a", "b"]["n"] == 12
+        assert cell["a", "c"]["coef"] == pytest.approx(-1.0) and cell["a", "d"]["coef"] is None and cell["a", "a"]["coef"] == pytest.approx(1.0)
+        assert [r["coef"] for r in describe.corr_matrix(df.limit(0), ["a", "b"], method).collect()] == [None] * 4
+
+
 def test_null_is_a_group_of_its_own(spark):
     rng = __import__("random").Random(2)
     rows = [(g, rng.gauss(0, 1), rng.gauss(0, 1), rng.choice("pqr"), rng.choice("st")) for g in ("a", None) for _ in range(40)]
