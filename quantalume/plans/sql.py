@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import describe, regression
-from ..sources import stat_files, xpt
+from ..sources import sas_files, stat_files, xpt
 from . import aggregates, visualize
 
 _CALL = re.compile(r"\b(meta|table_one|corr_matrix|lm_summary|lm|read_stat|read_stat_metadata)\s*\(", re.I)
@@ -61,17 +61,17 @@ def _copy(spark: SparkSession, m: re.Match) -> DataFrame:
         options[name.lower()] = aggregates.constant(spark, value.strip() if not re.fullmatch(r"\w+", value.strip()) or value.strip().isdigit() else f"'{value.strip()}'", name)
     path = m["path"].replace("''", "'")
     kind = str(options.pop("format", "") or path.rpartition(".")[2]).lower()
-    labels = {"xpt": "XPT", "sav": "SAV", "por": "POR"}
+    labels = {"xpt": "XPT", "sas7bdat": "SAS7BDAT", "sav": "SAV", "por": "POR"}
     if kind not in labels:
-        raise ValueError(f"Cannot detect file format of '{path}': COPY writes xpt, sav and por files")
-    known = {"xpt": ("version", "table_name", "label"), "sav": ("label", "compression"), "por": ("label",)}[kind]
+        raise ValueError(f"Cannot detect file format of '{path}': COPY writes xpt, sas7bdat, sav and por files")
+    known = {"xpt": ("version", "table_name", "label"), "sas7bdat": ("label", "compression"), "sav": ("label", "compression"), "por": ("label",)}[kind]
     every = {"version": "XPT", "table_name": "XPT", "compression": "SAS7BDAT and SAV"}
     for name in options:
         if name not in known:
             raise ValueError(f"{name.upper()} option is only meaningful for {every[name]} export, not {labels[kind]}" if name in every else f"Unrecognized {labels[kind]} option: {name}")
     what = m["what"].strip()
     df = sql(spark, what[1:-1]) if what.startswith("(") else spark.table(what)
-    writer = {"xpt": xpt.write_xpt, "sav": stat_files.write_sav, "por": stat_files.write_por}[kind]
+    writer = {"xpt": xpt.write_xpt, "sas7bdat": sas_files.write_sas7bdat, "sav": stat_files.write_sav, "por": stat_files.write_por}[kind]
     return spark.createDataFrame([(writer(df, path, **options),)], "Count bigint")
 
 

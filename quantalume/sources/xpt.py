@@ -23,8 +23,8 @@ from . import stat_files
 RECORD = 80
 _HEADER = b"HEADER RECORD*******%s HEADER RECORD!!!!!!!"
 _EPOCH = datetime.date(1960, 1, 1).toordinal() - datetime.date(1970, 1, 1).toordinal()
-#: Rows that a task decodes.
-RANGE_ROWS = 200_000
+#: Bytes that are read and decoded at once, and the most tasks of a scan.
+RANGE_BYTES, TASKS = 2 << 20, 10_000
 # SAS formats of dates, datetimes and times.
 _DATES = ("DATE", "DDMMYY", "MMDDYY", "YYMMDD", "E8601DA", "B8601DA", "JULIAN", "MONYY", "WEEKDATE", "WORDDATE", "YYMON", "IS8601DA")
 _DATETIMES = ("DATETIME", "E8601DT", "B8601DT", "DATEAMPM", "IS8601DT")
@@ -189,11 +189,35 @@ def _allow_time(spark: SparkSession, schema: T.StructType) -> T.StructType:
     return schema
 
 
+def _opener(spark: SparkSession, path: str):
+    """A function that opens a file in a task, seekable, or None where only Spark's own readers reach it.
+
+    Local and shared folders are opened directly, stores through Arrow's file systems.
+    """
+    if "://" not in path or path.startswith("file:"):
+        place = path.removeprefix("file://").removeprefix("file:")
+        default = spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        return (lambda: open(place, "rb")) if os.path.exists(place) and (path.startswith("file:") or default.startswith("file:")) else None
+
+    def remote():
+        from pyarrow import fs
+
+        store, place = fs.FileSystem.from_uri(path)
+        return store.open_input_file(place)
+
+    try:
+        remote().close()
+    except (pa.ArrowException, OSError, ImportError):
+        return None
+    return remote
+
+
 def read_stat(spark: SparkSession, path: str, format: str | None = None, encoding: str | None = None) -> DataFrame:
     """A statistics file as a DataFrame; the schema comes from the header alone.
 
-    A file's bytes go to one task, which decodes them with numpy in ranges of
-    rows; many files are read in parallel, one large file isn't.
+    Rows of a transport file have one width, so tasks read and decode ranges of
+    rows, in the file's order. Other formats, and transport files in stores that
+    only Spark's readers reach, are decoded in one task and stay under 2 GB.
     """
     if (found := _format(path, format)) != "xpt":
         other = _other(spark, path, found, encoding)
@@ -205,31 +229,43 @@ def read_stat(spark: SparkSession, path: str, format: str | None = None, encodin
 
         return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, _allow_time(spark, stat_files.schema_of(other.variables)))
     layout = _layout(spark, path)
-    width, start, rows = layout.width, layout.start, layout.rows
+    width, start = layout.width, layout.start
     schema = _allow_time(spark, layout.schema())
+    rows = _full_rows(spark, path, layout)
     if not rows:
         return spark.createDataFrame([], schema)
     names = [f"`{v['name']}`" for v in layout.variables]
+    step = max(1, RANGE_BYTES // width)
+    opened = _opener(spark, path)
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                with opened() as file:
+                    file.seek(start + number * step * width)
+                    yield layout.decode(file.read(min(step, rows - number * step) * width))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 raw = content.as_py()[start : start + rows * width]
-                raw = _without_padding(raw, width)
-                for at in range(0, len(raw), RANGE_ROWS * width):
-                    yield layout.decode(raw[at : at + RANGE_ROWS * width])
+                for at in range(0, len(raw), step * width):
+                    yield layout.decode(raw[at : at + step * width])
 
+    if opened:
+        count = -(-rows // step)
+        return spark.range(0, count, 1, min(count, TASKS)).mapInArrow(ranges, schema).select(*names)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(whole, schema).select(*names)
 
 
-def _without_padding(raw: bytes, width: int) -> bytes:
-    """Drop blank rows that only fill the last 80-byte record."""
-    n = len(raw) // width
-    blank = b" " * width
-    last = n
-    while last and n - last < RECORD // width + 1 and raw[(last - 1) * width : last * width] == blank:
-        last -= 1
-    return raw[: last * width]
+def _full_rows(spark: SparkSession, path: str, layout: Layout) -> int:
+    """Rows of the data set without the blank ones that only fill its last 80-byte record."""
+    n, width = layout.rows, layout.width
+    last = min(n, RECORD // width + 1) if width else 0
+    tail = _ranged(spark, path, layout.start + (n - last) * width, last * width) if last else b""
+    while last and tail[(last - 1) * width : last * width] == b" " * width:
+        last, n = last - 1, n - 1
+    return n
 
 
 def read_stat_metadata(spark: SparkSession, path: str, format: str | None = None, encoding: str | None = None) -> DataFrame:
@@ -285,6 +321,14 @@ class _Stream:
         self._stream.close()
 
 
+def check_types(df: DataFrame) -> None:
+    """Statistics files hold numbers, texts, dates and times only."""
+    for f in df.schema.fields:
+        simple = isinstance(f.dataType, (T.NumericType, T.BooleanType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType))
+        if not simple and not isinstance(f.dataType, T.TimeType):
+            raise ValueError(f"column '{f.name}' has unsupported type {f.dataType.simpleString().upper()} for export")
+
+
 def longest_texts(df: DataFrame) -> dict[str, int]:
     """Bytes of the longest text in each string column."""
     from pyspark.sql import functions as F
@@ -355,6 +399,7 @@ def write_xpt(df: DataFrame, path: str, table_name: str | None = None, label: st
             name = checked_name(os.path.splitext(os.path.basename(path))[0][:most], kind, most)
         except ValueError:
             name = "DATASET"
+    check_types(df)
     fields = df.schema.fields
     names = [checked_name(f.name, kind, most) for f in fields]
     if len(set(names)) < len(names):

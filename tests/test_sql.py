@@ -87,12 +87,12 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("name", ["a.xpt", "b.xpt", "c.sav", "d.sav", "e.por"])
+@pytest.mark.parametrize("name", ["a.xpt", "b.xpt", "c.sav", "d.sav", "e.por", "f.sas7bdat", "g.sas7bdat"])
 def test_copy_round_trips(spark, tmp_path, name):
     spark.conf.set("spark.sql.timeType.enabled", "true")
     df = spark.createDataFrame(ROWS, "n int, v double, s string, d date, ts timestamp_ntz, t time")
     df.createOrReplaceTempView("mixed")
-    options = {"b.xpt": "(VERSION 8, TABLE_NAME 'long_table_name', LABEL 'all kinds')", "d.sav": "(COMPRESSION rows)"}.get(name, "")
+    options = {"b.xpt": "(VERSION 8, TABLE_NAME 'long_table_name', LABEL 'all kinds')", "d.sav": "(COMPRESSION rows)", "g.sas7bdat": "(COMPRESSION rle, LABEL 'all kinds')"}.get(name, "")
     path = str(tmp_path / name)
     assert sql(spark, f"COPY mixed TO '{path}' {options}").first()[0] == 4
     got = sql(spark, f"SELECT * FROM 'file://{path}'")
@@ -105,6 +105,45 @@ def test_copy_round_trips(spark, tmp_path, name):
     assert sql(spark, f"SELECT count(*) AS c FROM 'file://{part}'").first()["c"] == 2
 
 
+@pytest.mark.parametrize("compression", ["none", "rows"])
+def test_sas7bdat_of_many_pages_and_columns(spark, tmp_path, compression):
+    """Rows over several pages, runs of all lengths, more columns than a subheader takes, labels, and no rows at all."""
+    from quantalume.sources.sas_files import write_sas7bdat
+    from quantalume.sources.xpt import read_stat, read_stat_metadata
+
+    df = spark.range(700).selectExpr("id", "id / 7 as x", "repeat(' ', int(id % 41)) || repeat('zé', int(id)) || '.' as s", "if(id % 3 = 0, null, repeat('q', int(id % 23))) as t")
+    df = df.withMetadata("x", {"comment": "sevenths"})
+    path = str(tmp_path / "t.sas7bdat")
+    assert write_sas7bdat(df, path, label="seven hundred", compression=compression) == 700
+    got = read_stat(spark, "file://" + path)
+    assert [tuple(r) for r in got.orderBy("id").collect()] == [(float(i), i / 7, " " * (i % 41) + "zé" * i + ".", "" if i % 3 == 0 else "q" * (i % 23)) for i in range(700)]
+    assert read_stat_metadata(spark, "file://" + path).collect()[1]["label"] == "sevenths"
+    assert b"seven hundred" in open(path, "rb").read()
+    wide = spark.range(2).selectExpr(*[f"double(id + {i}) as column_{i}" for i in range(2100)])
+    write_sas7bdat(wide, path, compression=compression)
+    assert sorted(r[2099] for r in read_stat(spark, "file://" + path).collect()) == [2099.0, 2100.0]
+    write_sas7bdat(df.limit(0), path, compression=compression)
+    assert read_stat(spark, "file://" + path).count() == 0
+
+
+def test_transport_files_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    """Ranges of few rows, and the one-task way, give the same rows in the same order; blank rows at the end are padding."""
+    from quantalume.sources import xpt
+
+    path = str(tmp_path / "r.xpt")
+    xpt.write_xpt(spark.range(0, 500, 1, 3).selectExpr("id as n", "concat('k', id) as s"), path)
+    monkeypatch.setattr(xpt, "RANGE_BYTES", 100)
+    got = xpt.read_stat(spark, "file://" + path)
+    assert got.rdd.getNumPartitions() > 50
+    expected = [(float(i), f"k{i}") for i in range(500)]
+    assert [tuple(r) for r in got.collect()] == expected
+    monkeypatch.setattr(xpt, "_opener", lambda *_: None)
+    assert [tuple(r) for r in xpt.read_stat(spark, "file://" + path).collect()] == expected
+    for rows in range(1, 5):
+        xpt.write_xpt(spark.range(rows).selectExpr("concat('x', id) as s"), path)
+        assert xpt.read_stat(spark, "file://" + path).count() == rows
+
+
 def test_version_8_keeps_long_names_texts_and_labels(spark, tmp_path):
     from quantalume.sources.xpt import read_stat, read_stat_metadata, write_xpt
 
@@ -130,6 +169,11 @@ def test_version_8_keeps_long_names_texts_and_labels(spark, tmp_path):
         ("1 AS a", "a.xpt", "(COLOUR 'red')", "Unrecognized XPT option"),
         ("1 AS a", "a.xpt", "(TABLE_NAME '9lives')", "starts with a digit"),
         ("1 AS a", "a.sav", "(COMPRESSION zip)", "must be 'none' or 'rows'"),
+        ("1 AS a", "a.sas7bdat", "(TABLE_NAME 'b')", "TABLE_NAME option is only meaningful for XPT export, not SAS7BDAT"),
+        ("1 AS a", "a.sas7bdat", "(COMPRESSION zip)", "SAS7BDAT COMPRESSION must be 'none' or 'rows'"),
+        ("1 AS a_name_of_thirty_three_characters", "a.sas7bdat", "", "too long for SAS7BDAT"),
+        ("array(1) AS a", "a.sas7bdat", "", "unsupported type ARRAY<INT>"),
+        ("array(1) AS a", "a.xpt", "", "unsupported type"),
         ("1 AS a", "a.txt", "", "Cannot detect file format"),
     ],
 )
