@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,19 @@ def drop_table(*tables: DataFrame) -> None:
     tables[0].sparkSession._jvm.System.gc()
 
 
+def release_memory() -> None:
+    """Give a Python worker's free memory back to the system.
+
+    Workers are kept for later tasks; what earlier stages allocated and freed
+    would else count beside what the next stage needs.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release_memory
 from .tokens import encoder, vocabulary_path
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -38,6 +38,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> D
     """A row for each piece of each document, null text counting as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         enc, end = encoder(vocabulary), np.uint32(end_id).tobytes()
         for batch in batches:
             rows: list[tuple] = []

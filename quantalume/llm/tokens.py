@@ -36,7 +36,7 @@ class PieceEncoder:
     cache starts anew. A worker's memory stays bounded whatever the corpus holds.
     """
 
-    def __init__(self, path: str, max_entries: int = 900_000):
+    def __init__(self, path: str, max_entries: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
