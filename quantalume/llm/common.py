@@ -63,7 +63,6 @@ def release_memory() -> None:
     Workers are kept for later tasks; what earlier stages allocated and freed
     would else count beside what the next stage needs.
     """
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim:

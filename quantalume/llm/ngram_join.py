@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, unused_name
+from .common import drop_table, materialize, release_memory, unused_name
 
 WORDS, SIMILARITY = 5, 0.8
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -153,6 +153,7 @@ def _statistics(docs: DataFrame) -> tuple[np.ndarray, float]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         counts, total, least = np.zeros(SLOTS, np.int64), 0, np.zeros(0, np.uint64)
         held: list[np.ndarray] = []
 
@@ -219,6 +220,7 @@ def _sets(docs: DataFrame, counts: np.ndarray, edge: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        release_memory()
         counts = shared.value
         lists = lambda xs: pa.ListArray.from_arrays(np.cumsum([0, *map(len, xs)]).astype(np.int32), pa.array(np.concatenate([*xs, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64)))
         for batch in batches:
