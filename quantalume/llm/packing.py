@@ -42,8 +42,8 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> D
         enc, end = encoder(vocabulary), np.uint32(end_id).tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = memoryview(enc.encode(text.as_py()) + end)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1))):
+                ids = memoryview(ids + end)
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     rows.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
             cols = list(zip(*rows)) or [()] * 5

@@ -53,6 +53,21 @@ def test_encoder_equals_library(library):
             assert tokens.encoder(tokens.vocabulary_path()).encode(t) == array("I", library.encode(t, add_special_tokens=False).ids).tobytes()
 
 
+def test_encoder_keeps_few_pieces_and_equals_library(library):
+    import pyarrow as pa
+
+    r = random.Random(7)
+    bits, gaps = ["a", "the", "é", "日本", "'s", "|", "<|endoftext|>", "12", "%%%", ",", "\x00", "\u01c6"], [" ", " ", " ", "\n", "  ", "\n\n", "\t", " \n", "\x0b", "\x1f", "\x85", "\xa0", "\u3000"]
+    odd = ["".join(r.choice(bits) + r.choice(bits) + r.choice(gaps) for _ in range(r.randrange(30))) for _ in range(150)]
+    many = [None, "", *odd, *(" ".join(f"w{k * 50 + i}x," for i in range(100)) for k in range(100)), " \n"]
+    enc = tokens.PieceEncoder(tokens.vocabulary_path(), max_entries=500, slice_bytes=2000)
+    for kind in (pa.string(), pa.large_string()):
+        got = list(enc.encode_all(pa.array(["cut", *many], kind)[1:]))
+        assert got == [array("I", library.encode(t or "", add_special_tokens=False).ids).tobytes() for t in many]
+        assert 0 < len(enc._keys) <= 500 and len(enc._keys) == len(enc._ids)
+    assert list(enc.encode_all(pa.array([], pa.string()))) == []
+
+
 def test_packing(docs, empty, library):
     rows = packing.best_fit_pack(docs, partition_rows=4).toPandas()
     ids = [array("I", library.encode(t or "", add_special_tokens=False).ids + [2]).tobytes() for _, t in texts()]
