@@ -125,8 +125,8 @@ def write_token_store(
         shard, block, base = TaskContext.get().partitionId(), 0, 0
         doc_ids, chunks, held = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                chunks.append(enc.encode(text.as_py()) + end)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1))):
+                chunks.append(ids + end)
                 doc_ids.append(doc_id)
                 held += len(chunks[-1]) // 4
                 if held >= block_tokens:
