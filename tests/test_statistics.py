@@ -173,3 +173,11 @@ def test_poibin_query_has_a_row_for_every_order(spark):
     orders = spark.read.parquet(f"{path}/lineitem.parquet").select("l_orderkey").distinct()
     got = QUERIES["poibin_cdf"](spark, path)
     assert got.count() == orders.count() and got.where("cdf is null or cdf < 0 or cdf > 1").count() == 0
+
+
+def test_anderson_darling_far_from_normal(spark):
+    # A^2 grows with the rows; the exponent of its p-value is above what exp can hold here
+    a = one(ranks.anderson_darling(spark.range(10_000).selectExpr("id % 2 as x"), "x"))
+    assert a["a_squared"] > 560 and (a["p_value"], a["n"]) == (1.0, 10_000)
+    assert ranks.anderson_p(5.0) == pytest.approx(math.exp(1.2937 - 5.709 * 5 + 0.0186 * 25))
+    assert ranks.anderson_p(150.0) < 1e-100
